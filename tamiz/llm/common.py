@@ -42,7 +42,7 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank") -> DataFrame:
-    """Add ``name``: a gapless rank from 0 within ``keys``, without gathering a key.
+    """Add ``name``: a gapless rank from 0 within ``keys`` (not null), without gathering a key.
 
     Rows of a key are dealt over ``salts`` sub-groups; each is ranked on its own and
     shifted by the sizes of the sub-groups before it. The table of sub-group
@@ -52,21 +52,17 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     dealt = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    renamed = shift.select(*[F.col(k).alias(f"_r_{k}") for k in by], "_shift")
-    on = [inner[k].eqNullSafe(renamed[f"_r_{k}"]) for k in by]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    ranked = inner.join(renamed, cond).withColumn(name, (F.col("_in") + F.col("_shift")).cast("long"))
-    return ranked.drop("_in", "_shift", "_salt", *[f"_r_{k}" for k in by])
-
-
-def attach_rows(docs: DataFrame, kept: DataFrame, on: list[tuple[Column, str]]) -> DataFrame:
-    """Rows of ``docs``, all columns and nothing else, that match ``kept`` (unique keys)."""
-    cond = None
-    for left, right in on:
-        c = left.eqNullSafe(kept[right])
-        cond = c if cond is None else cond & c
-    return docs.join(kept, cond, "left_semi")
+    shift = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return inner.join(shift, by).withColumn(name, (F.col("_in") + F.col("_shift")).cast("long")).drop("_in", "_shift", "_salt")
+
+
+#: Stands for a null id while pandas holds the column, so that it stays an integer.
+NULL_ID = -(2**63)
+
+
+def id_in(column: Column) -> Column:
+    return F.coalesce(column.cast("long"), F.lit(NULL_ID))
+
+
+def id_out(column: Column) -> Column:
+    return F.when(column != NULL_ID, column)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import exact_dedup, html, sharding, topk
+from tamiz.llm import exact_dedup, html, packing, sharding, topk
+
+
+#: The vocabulary file that packing counts tokens with.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +22,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,7 @@ def op7_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_topk_maxscore": op7_topk_maxscore,
