@@ -41,18 +41,21 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank") -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank", also: DataFrame | None = None) -> DataFrame:
     """Add ``name``: a gapless rank from 0 within ``keys`` (not null), without gathering a key.
 
     Rows of a key are dealt over ``salts`` sub-groups; each is ranked on its own and
     shifted by the sizes of the sub-groups before it. The table of sub-group
-    sizes is the only thing that is summed along a key.
+    sizes is the only thing that is summed along a key. Columns of ``also`` (one row
+    per key) come along with that table; rows whose key it lacks are dropped.
     """
     by = [*keys, "_salt"]
     dealt = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if also is not None:
+        shift = shift.join(also, keys)
     return inner.join(shift, by).withColumn(name, (F.col("_in") + F.col("_shift")).cast("long")).drop("_in", "_shift", "_salt")
 
 
