@@ -68,8 +68,9 @@ class Shingler:
         known = self.words
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        for w in set(words):
+            if w not in known:
+                known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
