@@ -79,8 +79,9 @@ class WordIds:
         """Ids of whole texts. U+001C to U+001F split Python strings but not the tokenizer's."""
         odd = [any(c in text for c in "\x1c\x1d\x1e\x1f") for text in texts]
         lists = [[] if o else text.split() for text, o in zip(texts, odd, strict=True)]
-        for new in set().union(*lists) - self.chunks.keys():
-            self.chunks[new] = self.chunk(new)
+        for word in set().union(*lists):
+            if word not in self.chunks:
+                self.chunks[word] = self.chunk(word)
         get = self.chunks.__getitem__
         out = [self.whole(text) if o else b"".join(map(get, words)) for text, o, words in zip(texts, odd, lists, strict=True)]
         for store in (self.chunks, self.parts):

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamiz.llm import exact_dedup, html, mixing, near_dups, packing, sharding, topk
+from tamiz.llm import exact_dedup, html, langid, line_dedup, mixing, near_dups, packing, sharding, topk, toxicity
 
 
 #: The vocabulary file that packing counts tokens with.
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -43,17 +48,32 @@ def op7_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    records = langid.document_records(docs).unionByName(langid.page_records(_table(spark, sf_dir, "pages")))
+    found = langid.identify(records, langid.fit(docs))
+    own = lambda kind, name: F.when(F.col("kind") == kind, F.col("id")).alias(name)
+    return found.select(own("document", "doc_id"), own("page", "page_id"), "lang", "probability", "text_lang", "declared", "words", "accepted")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.mark_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept", "n_grams")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_topk_maxscore": op7_topk_maxscore,
+    "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
