@@ -141,14 +141,14 @@ def text_evidence(records: DataFrame, model: TextModel, *extra: str) -> DataFram
     return records.mapInPandas(batches, schema)
 
 
-def _normal(logs: list[Column]) -> list[Column]:
-    """Probabilities from unnormalised logs."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return [p / total for p in parts]
+def _normal(df: DataFrame, logs: str, name: str) -> DataFrame:
+    """Add ``name``: probabilities from the unnormalised logs in an array column.
+
+    Arrays and one step per column keep the plan small, however many languages there are.
+    """
+    powers = df.withColumn("_pow", F.transform(logs, lambda x: F.exp(F.greatest(x - F.array_max(logs), F.lit(-700.0)))))
+    total = F.aggregate("_pow", F.lit(0.0), lambda a, x: a + x)
+    return powers.withColumn("_sum", total).withColumn(name, F.transform("_pow", lambda x: x / F.col("_sum"))).drop("_pow", "_sum")
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -160,29 +160,30 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     """
     k = range(len(languages))
     unknown = languages.index(UNKNOWN)
-    start = [F.lit(float(np.log(UNKNOWN_SHARE if i == unknown else (1 - UNKNOWN_SHARE) / max(1, len(languages) - 1)))) for i in k]
-    by_text = _normal([F.col("likelihood")[i] + start[i] for i in k])
-    base = evidence.select("*", *[p.alias(f"_t{i}") for i, p in enumerate(by_text)])
+    start = F.array(*[F.lit(float(np.log(UNKNOWN_SHARE if i == unknown else (1 - UNKNOWN_SHARE) / max(1, len(languages) - 1)))) for i in k])
+    begun = evidence.withColumn("_start", F.zip_with("likelihood", start, lambda x, y: x + y))
+    base = _normal(begun, "_start", "_t").drop("_start")
 
     def sums(keys: list[str], mark: str) -> DataFrame:
-        return base.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_{mark}n"), *[F.sum(f"_t{i}").alias(f"_{mark}{i}") for i in k])
-
-    whole = materialise(sums(["kind"], "g"), "language-kinds")
-    suffix = materialise(sums(["kind", "suffix"], "s"), "language-suffixes")
-    host = materialise(sums(["kind", "host"], "h"), "language-hosts")
-    said = materialise(sums(["kind", "declared"], "d"), "language-declared")
-    joined = base.join(F.broadcast(whole), "kind").join(suffix, ["kind", "suffix"]).join(said, ["kind", "declared"]).join(host, ["kind", "host"])
-    scores = []
-    for i in k:
-        top = (F.col(f"_g{i}") + UNKNOWN_SHARE) / (F.col("_gn") + UNKNOWN_SHARE * len(languages))
-        middle = (F.col(f"_s{i}") - F.col(f"_t{i}") + LEVEL_PRIOR * top) / (F.col("_sn") - 1 + LEVEL_PRIOR)
-        prior = (F.greatest(F.col(f"_h{i}") - F.col(f"_t{i}"), F.lit(0.0)) + LEVEL_PRIOR * F.greatest(middle, F.lit(1e-9))) / (F.col("_hn") - 1 + LEVEL_PRIOR)
-        rate = (F.greatest(F.col(f"_d{i}") - F.col(f"_t{i}"), F.lit(0.0)) + DECLARED_PRIOR * F.col("_dn") / F.col("_gn")) / (F.col(f"_g{i}") + DECLARED_PRIOR)
-        scores.append(F.col("likelihood")[i] + F.log(F.greatest(prior, F.lit(1e-12))) + F.when(F.col("declared") == "", 0.0).otherwise(F.log(F.greatest(rate, F.lit(1e-12)))))
-    final = joined.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(_normal(scores))])
-    best = lambda mark: F.array_max(F.array(*[F.struct(F.col(f"_{mark}{i}").alias("p"), F.lit(languages[i]).alias("lang")) for i in k]))
-    drop = [c for c in final.columns if re.fullmatch(r"_[tgshdp](n|\d+)", c)]
-    return final.withColumn("_best", best("p")).withColumn("_text", best("t")).select(*[c for c in final.columns if c not in drop], "_best.lang", F.col("_best.p").alias("probability"), F.col("_text.lang").alias("text_lang"))
+        total = F.array(*[F.sum(F.get("_t", F.lit(i))) for i in k])
+        return materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{mark}"), total.alias(f"_{mark}")), f"languages-{mark}")
+
+    joined = base.join(F.broadcast(sums(["kind"], "g")), "kind").join(sums(["kind", "suffix"], "s"), ["kind", "suffix"]).join(sums(["kind", "declared"], "d"), ["kind", "declared"]).join(sums(["kind", "host"], "h"), ["kind", "host"])
+
+    def score(i: Column) -> Column:
+        own = F.get("_t", i)
+        top = (F.get("_g", i) + UNKNOWN_SHARE) / (F.col("_ng") + UNKNOWN_SHARE * len(languages))
+        middle = (F.get("_s", i) - own + LEVEL_PRIOR * top) / (F.col("_ns") - 1 + LEVEL_PRIOR)
+        prior = (F.greatest(F.get("_h", i) - own, F.lit(0.0)) + LEVEL_PRIOR * F.greatest(middle, F.lit(1e-9))) / (F.col("_nh") - 1 + LEVEL_PRIOR)
+        rate = (F.greatest(F.get("_d", i) - own, F.lit(0.0)) + DECLARED_PRIOR * F.col("_nd") / F.col("_ng")) / (F.get("_g", i) + DECLARED_PRIOR)
+        said = F.when(F.col("declared") == "", 0.0).otherwise(F.log(F.greatest(rate, F.lit(1e-12))))
+        return F.get("likelihood", i) + F.log(F.greatest(prior, F.lit(1e-12))) + said
+
+    scored = joined.withColumn("_score", F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), score))
+    names = F.array(*[F.lit(x) for x in languages])
+    best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
+    final = _normal(scored, "_score", "_p")
+    return final.select(*evidence.columns, best("_p").alias("lang"), F.array_max("_p").alias("probability"), best("_t").alias("text_lang"))
 
 
 def identify(records: DataFrame, model: TextModel, accept: float = ACCEPT) -> DataFrame:
@@ -190,7 +191,7 @@ def identify(records: DataFrame, model: TextModel, accept: float = ACCEPT) -> Da
 
     Null and empty texts, and those without letters, have no words: they are UNKNOWN with
     probability 1 and not accepted. Accepted are known languages of at least ``accept``.
-    Ties between languages go to the later name. Repeated records are judged alike.
+    Ties between languages go to the earlier name. Repeated records are judged alike.
     """
     fused = fuse(materialise(text_evidence(records, model), "evidence"), model.languages)
     none = F.col("words") == 0
