@@ -1,7 +1,7 @@
 """Exact dedup against immutable snapshots, screened by static binary-fuse filters.
 
 A snapshot keeps one row per distinct digest, in buckets, and one filter per bucket
-(about nine bits a digest). A new batch is first grouped by itself; its distinct
+(nine to ten bits a digest). A new batch is first grouped by itself; its distinct
 digests go through the filters of their buckets. Only positives meet the snapshot's
 exact rows, where the texts themselves are compared.
 """
