@@ -53,9 +53,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def read_strict(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose field count fits the header, and the raw text of the others."""
+    """Rows whose field count fits the header, and the raw text of the others; the parsed rows are persisted for both."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path).persist()
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
