@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import cleaning as C
 from tamiz.functions import timefeat
 from tamiz.functions.text import cell
-from tamiz.operators import merge, metrics, ranking, rules
+from tamiz.operators import clean, merge, metrics, ranking, rules
 from tamiz.sources.tables import table
 
 SPACE_SQL = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
@@ -204,11 +204,31 @@ def entity_frequency(spark: SparkSession, d: str) -> DataFrame:
     return _ghosts(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as merged records: numbers missing from some, days in three layouts or broken."""
+    o = table(spark, d, "orders")
+    k = F.pmod(F.col("o_orderkey"), F.lit(5))
+    day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 2, F.lit("")).otherwise(F.lit("2017-02-30"))
+    return o.select(
+        F.when(F.pmod("o_orderkey", F.lit(13)) != 0, F.concat(F.lit(" N"), F.col("o_orderkey").cast("string"))).alias("NRO_EXPEDIENTE"), F.lit(None).cast("string").alias("EXPEDIENTE_ORIGEN_pres"), F.concat(F.lit("a  b "), "o_orderstatus").alias("TIPO_EXPEDIENTE_pres"), day.alias("FECHA_PRESENTACION_pres"),
+        F.concat(F.lit("Compañía n° "), F.col("o_custkey").cast("string"), F.lit(" S.A.")).alias("DENUNCIADOS_pres"), F.concat(F.lit("RUC : "), F.col("o_custkey").cast("string")).alias("DOC_DENUNCIADO"), F.col("o_orderpriority").alias("MATERIA_pres"), F.lit("2017.0").alias("año_pres"),
+        day.alias("FECHA_RESOLUCION"), F.lit(" r ").alias("NRO_RESOLUCION"), F.concat(F.lit(">> "), "o_orderstatus", F.lit("\nrest")).alias("FORMA_CONCLUSION"), F.lit("1999").alias("año_res"), F.when(k == 4, "none").otherwise("nro").alias("RES_MATCH_SOURCE"),
+    )
+
+
+def clean_records(spark: SparkSession, d: str) -> DataFrame:
+    return clean.clean_frame(_merged(spark, d))
+
+
+def clean_report(spark: SparkSession, d: str) -> DataFrame:
+    return clean.clean_report(_merged(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         temporal_features, parse_timestamp, parse_clock, temporal_split, hashed_split, label_parse, left_join_suffix, two_step_match, two_step_match_legacy, coverage_by_year, dedup_keep_last, union_by_name, clean_entity, clean_dates,
-        clean_years, clean_conclusion, extract_doc_number, validate_rows, confusion_metrics, trimmed_mean, stage_means, best_config, unmatched_rows, null_profile, rule_duplicates, rule_night, rule_entity, rule_alerts, entity_frequency,
+        clean_years, clean_conclusion, extract_doc_number, validate_rows, confusion_metrics, trimmed_mean, stage_means, best_config, unmatched_rows, null_profile, rule_duplicates, rule_night, rule_entity, rule_alerts, entity_frequency, clean_records, clean_report,
     )
 }
 
@@ -247,8 +267,8 @@ _GHOST_SQL = "g AS (SELECT event_id, ts, CASE WHEN user_id % 5 = 0 THEN 'EMPRESA
 _RULES_SQL = f"""{_GHOST_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY text) >= 50 AS dup, hour(ts) BETWEEN 0 AND 4 AS night, count(*) OVER (PARTITION BY entity) >= 3 AND contains(entity, 'EMPRESA_FANTASMA_') AS ghost FROM g)"""
 
 ORACLE_SQL = {
-    "temporal_features": f"""SELECT event_id, round({_HOUR} / 23.0, 6) AS hour, round({_WEEK} / 6.0, 6) AS weekday, round(month(ts) / 12.0, 6) AS month, CASE WHEN {_WEEK} IN (0, 6) THEN 1.0 ELSE 0.0 END AS weekend,
-        CASE WHEN {_WEEK} NOT IN (0, 6) AND {_HOUR} >= 8 AND {_HOUR} < 18 THEN 1.0 ELSE 0.0 END AS business, CASE WHEN {_HOUR} < 5 OR {_HOUR} >= 22 THEN 1.0 ELSE 0.0 END AS night,
+    "temporal_features": f"""SELECT event_id, round({_HOUR} / 23.0, 6) AS hour, round({_WEEK} / 6.0, 6) AS weekday, round(month(ts) / 12.0, 6) AS month, CASE WHEN {_WEEK} IN (0, 6) THEN 1e0 ELSE 0e0 END AS weekend,
+        CASE WHEN {_WEEK} NOT IN (0, 6) AND {_HOUR} >= 8 AND {_HOUR} < 18 THEN 1e0 ELSE 0e0 END AS business, CASE WHEN {_HOUR} < 5 OR {_HOUR} >= 22 THEN 1e0 ELSE 0e0 END AS night,
         round(sin({TURN}{_HOUR} / 24.0), 6) + 0.0 AS hour_sin, round(cos({TURN}{_HOUR} / 24.0), 6) + 0.0 AS hour_cos, round(sin({TURN}{_WEEK} / 7.0), 6) + 0.0 AS weekday_sin, round(cos({TURN}{_WEEK} / 7.0), 6) + 0.0 AS weekday_cos FROM events""",
     "parse_timestamp": f"SELECT event_id, CASE event_id % 10 {_PRINT_SQL} END AS parsed FROM events",
     "parse_clock": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) WHEN 1 THEN hour(ts) * 3600 + minute(ts) * 60 WHEN 4 THEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) END AS seconds,
@@ -287,4 +307,9 @@ ORACLE_SQL = {
     "rule_entity": f"WITH {_RULES_SQL} SELECT event_id, ghost AS r_ghost FROM c",
     "rule_alerts": f"WITH {_RULES_SQL} SELECT count(*) FILTER (WHERE dup) AS r_duplicate, count(*) FILTER (WHERE dup) AS r_bombing, count(*) FILTER (WHERE night) AS r_night, count(*) FILTER (WHERE ghost) AS r_ghost, count(*) FILTER (WHERE dup OR night OR ghost) AS alert, count(*) AS n FROM c",
     "entity_frequency": f"WITH {_GHOST_SQL} SELECT entity, count(*) AS n FROM g GROUP BY entity",
+    "clean_records": """SELECT 'N' || o_orderkey AS NRO_EXPEDIENTE, '' AS EXPEDIENTE_ORIGEN_pres, 'a b ' || o_orderstatus AS TIPO_EXPEDIENTE_pres, CASE WHEN o_orderkey % 5 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS FECHA_PRESENTACION_pres,
+        'COMPANIA N' || o_custkey || ' SA' AS DENUNCIADOS_pres, CAST(o_custkey AS VARCHAR) AS DOC_DENUNCIADO, trim(o_orderpriority) AS MATERIA_pres, '2017' AS año_pres, CASE WHEN o_orderkey % 5 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS FECHA_RESOLUCION,
+        'r' AS NRO_RESOLUCION, trim(o_orderstatus) AS FORMA_CONCLUSION, '' AS año_res, CASE WHEN o_orderkey % 5 = 4 THEN 'none' ELSE 'nro' END AS RES_MATCH_SOURCE FROM orders WHERE o_orderkey % 13 <> 0""",
+    "clean_report": """SELECT count(*) AS n_read, count(*) FILTER (WHERE o_orderkey % 13 = 0) AS skipped, count(*) FILTER (WHERE o_orderkey % 13 <> 0) AS kept, count(*) FILTER (WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 = 4) AS unmatched,
+        round(100.0 * count(*) FILTER (WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 = 4) / count(*) FILTER (WHERE o_orderkey % 13 <> 0), 6) AS unmatched_percent, count(*) FILTER (WHERE o_orderkey % 13 <> 0 AND o_orderkey % 5 > 2) AS bad_days FROM orders""",
 }
