@@ -42,13 +42,14 @@ def pick(options: tuple[str, ...], index: Column) -> Column:
 
 
 def weighted_hour(name: str, seed: int) -> Column:
-    """An hour drawn by its weight."""
-    at, total, out = below(name, seed, sum(HOUR_WEIGHTS)), 0, None
-    for hour, weight in enumerate(HOUR_WEIGHTS):
-        total += weight
-        hit = F.lit(hour)
-        out = F.when(at < total, hit) if out is None else out.when(at < total, hit)
-    return out
+    """An hour drawn by its weight: a place in the list that holds every hour as often as it weighs."""
+    hours = [hour for hour, weight in enumerate(HOUR_WEIGHTS) for _ in range(weight)]
+    return F.element_at(F.array(*[F.lit(h) for h in hours]), below(name, seed, len(hours)).cast("int") + 1)
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c`` with ``c`` worked out once, so that chained steps do not multiply in the plan."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
@@ -61,12 +62,12 @@ Anomaly = Callable[[DataFrame, Column, int, int], DataFrame]
 
 def burst(df: DataFrame, hit: Column, turn: int, seed: int) -> DataFrame:
     """Later by its own seconds modulo 20."""
-    return df.withColumn("ts", F.when(hit, add_seconds(F.col("ts"), F.pmod(F.second("ts"), F.lit(20)))).otherwise(F.col("ts")))
+    return df.withColumn("ts", bound(F.col("ts"), lambda t: F.when(hit, add_seconds(t, F.pmod(F.second(t), F.lit(20)))).otherwise(t)))
 
 
 def night(df: DataFrame, hit: Column, turn: int, seed: int) -> DataFrame:
     """At ten past two on the same day."""
-    return df.withColumn("ts", F.when(hit, add_seconds(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"), F.lit(7800))).otherwise(F.col("ts")))
+    return df.withColumn("ts", bound(F.col("ts"), lambda t: F.when(hit, add_seconds(F.date_trunc("day", t).cast("timestamp_ntz"), F.lit(7800))).otherwise(t)))
 
 
 def fake_entity(df: DataFrame, hit: Column, turn: int, seed: int) -> DataFrame:
@@ -77,9 +78,12 @@ def fake_entity(df: DataFrame, hit: Column, turn: int, seed: int) -> DataFrame:
 
 def duplicate_text(df: DataFrame, hit: Column, turn: int, seed: int) -> DataFrame:
     """One of four variants of the text."""
-    k, text = below(f"variant-{turn}", seed, 4), F.col("text")
-    variant = F.when(k == 0, F.upper(text)).when(k == 1, F.lower(text)).when(k == 2, F.concat(text, F.lit(" urgente"))).otherwise(F.replace(text, F.lit("Solicito"), F.lit("Requiero")))
-    return df.withColumn("text", F.when(hit, variant).otherwise(text))
+    k = below(f"variant-{turn}", seed, 4)
+
+    def variant(t: Column) -> Column:
+        return F.when(~hit, t).when(k == 0, F.upper(t)).when(k == 1, F.lower(t)).when(k == 2, F.concat(t, F.lit(" urgente"))).otherwise(F.replace(t, F.lit("Solicito"), F.lit("Requiero")))
+
+    return df.withColumn("text", bound(F.col("text"), variant))
 
 
 #: The registry: a new anomaly is a function over frames under its tag.
@@ -107,10 +111,9 @@ def synthesise(source: DataFrame, count: int, anchor: str, seed: int = 42, anoma
     clock = weighted_hour("hour", seed) * 3600 + below("minute", seed, 60) * 60 + below("second", seed, 60)
     df = df.withColumn("ts", add_seconds(day.cast("timestamp_ntz"), clock))
     text = F.concat(pick(OPENINGS, below("opening", seed, 4)), F.lit(" contra "), filled(F.col("entity"), NO_ENTITY), F.lit(" por problemas relacionados con "), filled(F.col("matter"), NO_MATTER), F.lit(". "), pick(REQUESTS, below("request", seed, 3)))
-    text = F.when(chance("plain", seed, PLAIN_WORD_SHARE), F.replace(text, F.lit("ción"), F.lit("cion"))).otherwise(text)
-    df = df.withColumn("text", text)
-    df = df.withColumn("text", F.when(chance("shout", seed, SHOUT_SHARE), F.concat("text", F.lit("!!"))).otherwise(F.col("text")))
-    df = df.withColumn("text", F.when(chance("capitals", seed, CAPITALS_SHARE), F.upper("text")).otherwise(F.col("text")))
+    text = bound(text, lambda t: F.when(chance("plain", seed, PLAIN_WORD_SHARE), F.replace(t, F.lit("ción"), F.lit("cion"))).otherwise(t))
+    text = F.concat(text, F.when(chance("shout", seed, SHOUT_SHARE), "!!").otherwise(""))
+    df = df.withColumn("text", bound(text, lambda t: F.when(chance("capitals", seed, CAPITALS_SHARE), F.upper(t)).otherwise(t)))
     strikes = F.when(chance("spam", seed, ANOMALY_SHARE), below("strikes", seed, MOST_ANOMALIES) + 1).otherwise(0)
     names = tuple(registry)
     df = df.withColumn("strikes", strikes)
