@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import id_in, id_out, materialise
@@ -23,6 +23,8 @@ EDITS = 2
 SHORTEST = 20
 #: Lines of a meeting that one task compares; crowded meetings are cut into blocks of this size.
 BLOCK = 128
+#: Room in a tag for twice the segments; ids of up to 2^27 partitions still fit.
+TAGS = 64
 _WORD = (1 << 64) - 1
 
 
@@ -101,25 +103,27 @@ def first_shared_segment(short: str, long: str, edits: int = EDITS) -> int:
     return -1
 
 
-def _keys(edits: int) -> Column:
-    """Structs (segment, probes, key) of a line: index rows (probes false), and probes for lines up to ``edits`` shorter.
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key, tag of ``lines`` (id, line, size): index rows, and probes for lines up to ``edits`` shorter.
+
+    The tag is the id, the segment and whether the row probes, in one number, so that
+    what is shuffled per row are two longs.
 
     An index row also stands for the probe at the same place of lines of equal length.
+    Lines have (edits + 1)^2 characters at least, so every window lies inside the line.
     """
-    size = F.char_length("line")
-    out = []
-    for longer in range(edits + 1):
-        length = size - longer
-        base, more = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, F.lit(edits + 1))
-        for i in range(edits + 1):
-            own = base + (F.lit(i) >= edits + 1 - more).cast("int")
-            at = base * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(edits + 1) - more))
+    parts = edits + 1
+    cuts = lines.select("id", "line", "size", *[c for k in range(parts) for c in (F.expr(f"cast((size - {k}) div {parts} as int)").alias(f"base{k}"), F.expr(f"{parts} - (size - {k}) % {parts}").alias(f"short{k}"))])
+    keys = []
+    for longer in range(parts):
+        base, short = F.col(f"base{longer}"), F.col(f"short{longer}")
+        for i in range(parts):
+            own, at = base + (short <= i).cast("int"), base * i + F.greatest(F.lit(0), F.lit(i) - short)
             for offset in probe_window(i, longer, edits):
-                inside = (at + offset >= 0) & (at + offset + own <= size)
-                key = F.xxhash64(length, F.lit(i), F.substring("line", at + offset + 1, own))
+                key = F.xxhash64(F.substring("line", at + offset + 1, own), F.col("size") * parts + (i - longer * parts))
                 index = longer == 0 and offset == 0
-                out.append(F.when(inside, F.struct(F.lit(i).cast("byte").alias("segment"), F.lit(not index).alias("probes"), key.alias("key"))))
-    return F.array_compact(F.array(*out))
+                keys.append(F.struct(key.alias("key"), (F.col("id") * TAGS + (2 * i + (not index))).alias("tag")))
+    return cuts.select(F.array(*keys).alias("keys")).select(F.explode_outer("keys").alias("k")).select("k.key", "k.tag")  # never empty
 
 
 def meet(rows: list[tuple[int, int, bool, str]], segment: int, own_block: bool, edits: int) -> list[tuple[int, int, int]]:
@@ -159,21 +163,34 @@ def edit_links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, b
     Index rows and probes are dealt by key. Keys at which no other line meets an index row
     are dropped before any text moves; crowded ones are cut into pairs of blocks.
     """
-    long = lines.where(F.char_length("line") >= max(shortest, edits + 1))
-    dealt = long.select("id", F.explode(_keys(edits)).alias("k")).select("id", "k.segment", "k.probes", "k.key")
-    met = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("probes").alias("no_index"))
-    met = met.where("low < high and not no_index").select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks"))
-    crowd = materialise(dealt.join(met, "key"), "meetings")
+    long = lines.withColumn("size", F.char_length("line")).where(F.col("size") >= max(shortest, (edits + 1) ** 2))
+    line_of, bits = F.shiftright("tag", TAGS.bit_length() - 1), F.col("tag").bitwiseAND(TAGS - 1)
+    at = Window.partitionBy("key")  # rows are shuffled once; a key's rows stream through a buffer that spills
+    met = _keys(long, edits).select("key", "tag", F.count(F.lit(1)).over(at).alias("size"), F.min(line_of).over(at).alias("low"), F.max(line_of).over(at).alias("high"), F.min(F.col("tag").bitwiseAND(1)).over(at).alias("no_index"))
+    met = met.where("low < high and no_index = 0")
+    crowd = materialise(met.select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks"), line_of.alias("id"), F.shiftright(bits, 1).cast("int").alias("segment"), (bits.bitwiseAND(1) == 1).alias("probes")), "meetings")
     texts = lines.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "line")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks")), lambda j: j < F.col("blocks"))
     placed = crowd.join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(others))
     units = placed.select("key", "segment", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "probes", "line")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["own"].tolist(), pdf["id"].tolist(), pdf["probes"].tolist(), pdf["line"].tolist(), strict=True))
-        return pd.DataFrame(meet(rows, key[1], key[2] == key[3], edits), columns=["kind", "x", "y"], dtype="int64")
-
-    return units.groupBy("key", "segment", "i", "j").applyInPandas(compare, "kind long, x long, y long")
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows = None, []
+        for pdf in frames:
+            out: list[tuple[int, int, int]] = []
+            for *unit, own, x, probes, line in zip(*(pdf[c].tolist() for c in ("key", "segment", "i", "j", "own", "id", "probes", "line")), strict=True):
+                if unit != now:
+                    if rows:
+                        out += meet(rows, now[1], now[2] == now[3], edits)
+                    now, rows = unit, []
+                rows.append((own, x, probes, line))
+            yield pd.DataFrame(out, columns=["kind", "x", "y"], dtype="int64")
+        if rows:
+            yield pd.DataFrame(meet(rows, now[1], now[2] == now[3], edits), columns=["kind", "x", "y"], dtype="int64")
+
+    # A unit is two blocks at most; units follow each other, as a call per unit would cost more than its work.
+    together = units.repartition("key", "i", "j").sortWithinPartitions("key", "segment", "i", "j")
+    return together.mapInPandas(compare, "kind long, x long, y long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -214,7 +231,9 @@ def mark_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
 def drop_lines(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts; rows that repeat an id and a text share the first one's marks."""
     once = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("dropped").alias("_dropped"))
-    own = docs.withColumn("_own", F.xxhash64(docs["text"].cast("string")))
-    found = own.join(once, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i))
-    return found.withColumn("text", F.when(F.size("_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    text = docs["text"].cast("string")
+    own = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_own"), F.xxhash64(text).alias("_own_hash"), text.alias("_text"))
+    found = own.join(once, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_dropped", i))
+    row = F.when(F.size("_dropped") > 0, F.col("_row").withField("text", F.array_join(kept, "\n"))).otherwise(F.col("_row"))
+    return found.select(row.alias("_row")).select("_row.*")
