@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tamiz.llm import exact_dedup, langid, mixing, near_dups, packing
-from tamiz.llm.common import materialise
+from tamiz.llm.common import materialise, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, keep=1)  # what the stage wrote on its way, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
