@@ -42,9 +42,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written so far in this process, oldest first.
+_made: list[str] = []
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables written so far, but for the last ``keep``; results that still read them must be written first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = _made[: len(_made) - keep]
+    del _made[: len(gone)]
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few, else as it is."""
     n = df.count() if rows is None else rows
