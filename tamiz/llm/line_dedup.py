@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import id_in, id_out, materialise
+from tamiz.llm.common import id_in, id_out, materialise, sized
 from tamiz.llm.components import components
 
 EDITS = 2
@@ -169,7 +169,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, b
     met = _keys(long, edits).select("key", "tag", F.count(F.lit(1)).over(at).alias("size"), F.min(line_of).over(at).alias("low"), F.max(line_of).over(at).alias("high"), F.min(F.col("tag").bitwiseAND(1)).over(at).alias("no_index"))
     met = met.where("low < high and no_index = 0")
     crowd = materialise(met.select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks"), line_of.alias("id"), F.shiftright(bits, 1).cast("int").alias("segment"), (bits.bitwiseAND(1) == 1).alias("probes")), "meetings")
-    texts = lines.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "line")
+    wanted = materialise(crowd.select("id").distinct(), "wanted")
+    texts = lines.join(sized(wanted), "id", "left_semi").select("id", "line")  # few are wanted: the lines stay where they are
     others = F.filter(F.sequence(F.lit(0), F.col("blocks")), lambda j: j < F.col("blocks"))
     placed = crowd.join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(others))
     units = placed.select("key", "segment", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "probes", "line")
