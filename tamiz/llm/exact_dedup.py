@@ -140,9 +140,11 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame, rows: int, name: str) -> DataFrame:
     """digest and text of the rows in ``wanted`` (doc_id, digest): the one place where texts move."""
     small = sized(wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), rows)
-    text = normalised(docs["text"])
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).join(small, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.where(F.unhex(F.sha2("text", 256)) == F.col("_digest")).groupBy(F.col("_digest").alias("digest")).agg(F.min("text").alias(name), F.max("text").alias(f"{name}_other"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("raw"))
+    text = normalised(F.col("raw"))
+    own_text = F.when(F.unhex(F.sha2(text, 256)) == F.col("_digest"), text)  # a filter here would become a join key, worked out for every row
+    found = own.join(small, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_digest", own_text.alias("text"))
+    return found.groupBy(F.col("_digest").alias("digest")).agg(F.min("text").alias(name), F.max("text").alias(f"{name}_other"))
 
 
 def mark_duplicates(docs: DataFrame, in_snapshot: Column, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
