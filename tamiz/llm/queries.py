@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm import exact_dedup, html, langid, line_dedup, mixing, near_dups, packing, sharding, topk, toxicity
+from tamiz.sources.tables import table
 
 
 #: The vocabulary file that packing counts tokens with.
@@ -16,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,14 @@ def test_stages_on_odd_and_empty_tables(spark, docs, odd_rows):
             out = stage(spark, frame, "")
             assert out.columns == frame.columns and out.count() <= 3 * len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs([]), "").count() == 0
+
+
+def test_released_tables_are_gone(spark):
+    from tamiz.llm import common
+
+    common.release(spark)
+    first, last = common.materialise(spark.range(3), "first"), common.materialise(spark.range(4), "last")
+    common.release(spark, keep=1)
+    assert last.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        first.count()
