@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -48,26 +50,56 @@ def predict(rows: DataFrame, features: DataFrame, model: Linear, threshold: floa
     return rows.join(z, "row_id", "left").withColumn("probability", p).withColumn("prediction", (F.col("probability") >= threshold).cast("int")).drop("z")
 
 
+def packed(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """label, idx, value: one row per row of ``rows`` with its features as two arrays; none are empty arrays."""
+    pairs = F.sort_array(F.collect_list(F.struct("idx", "value")))
+    by_row = features.groupBy("row_id").agg(pairs.alias("f")).select("row_id", F.col("f.idx").alias("idx"), F.col("f.value").alias("value"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.select("row_id", "label").join(by_row, "row_id", "left").select("label", F.coalesce("idx", none("bigint")).alias("idx"), F.coalesce("value", none("double")).alias("value"))
+
+
+def gradient(frames: Iterator[pd.DataFrame], weights: np.ndarray, bias: float) -> Iterator[pd.DataFrame]:
+    """idx, g: the summed gradient of a partition's rows for every feature it has, the bias as the last index."""
+    n = len(weights)
+    total, seen = np.zeros(n + 1), np.zeros(n + 1, bool)
+    for pdf in frames:
+        if len(pdf):
+            index, value = np.concatenate(pdf["idx"].tolist()).astype(np.int64), np.concatenate(pdf["value"].tolist())
+            owner = np.repeat(np.arange(len(pdf)), [len(i) for i in pdf["idx"]])
+            z = np.bincount(owner, weights[index] * value, len(pdf)) + bias
+            small = np.exp(-np.abs(z))
+            error = np.where(z >= 0, 1 / (1 + small), small / (1 + small)) - pdf["label"].to_numpy(np.float64)
+            total[:n] += np.bincount(index, error[owner] * value, n)
+            total[n] += error.sum()
+            seen[index] = seen[n] = True
+    at = np.flatnonzero(seen)
+    yield pd.DataFrame({"idx": at, "g": total[at]})
+
+
 def descend(rows: DataFrame, features: DataFrame, config: TrainConfig) -> Linear:
     """Full-batch gradient descent from zero: exact whenever the batch holds all rows.
 
-    Per epoch one join with the broadcast weights and one grouped sum by feature; only the
-    gradient (one value per feature) reaches the driver. Weights decay, the bias does not.
+    Features are packed per row once and kept; an epoch is one pass without a shuffle of
+    rows: every partition sums its own gradient, and one value per feature reaches the
+    driver. Weights decay, the bias does not.
     """
-    rows, features = rows.select("row_id", "label").cache(), features.cache()
-    n = rows.count()
+    kept = packed(rows, features).persist()
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.max(F.array_max("idx")), F.lit(-1))).first()
+    if not n:
+        return Linear({})
     config = config.normalised(n)
-    model = Linear({})
+    weights, bias, seen = np.zeros(size + 1), 0.0, set()
     for _ in range(config.epochs):
-        scored = predict(rows, features, model, config.threshold).select("row_id", (F.col("probability") - F.col("label")).alias("error"))
-        grouped = features.join(scored, "row_id").groupBy("idx").agg(F.sum(F.col("error") * F.col("value")).alias("g"))
-        gradient = {r["idx"]: r["g"] / n for r in grouped.collect()}
-        bias = scored.agg(F.sum("error")).first()[0] / n
-        weights = {i: (w := model.weights.get(i, 0.0)) - config.rate * (gradient.get(i, 0.0) + config.decay * w) for i in gradient.keys() | model.weights.keys()}
-        model = Linear(weights, model.bias - config.rate * bias)
-    rows.unpersist()
-    features.unpersist()
-    return model
+        step = partial(gradient, weights=weights, bias=bias)
+        sums = kept.mapInPandas(step, "idx long, g double").groupBy("idx").agg(F.sum("g").alias("g")).collect()
+        total = np.zeros(size + 2)
+        for r in sums:
+            total[r["idx"]] = r["g"]
+        seen.update(r["idx"] for r in sums)
+        weights = weights - config.rate * (total[: size + 1] / n + config.decay * weights)
+        bias -= config.rate * total[size + 1] / n
+    kept.unpersist()
+    return Linear({i: float(weights[i]) for i in sorted(seen) if i <= size}, float(bias))
 
 
 def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension: int, config: TrainConfig) -> tuple[np.ndarray, float]:
