@@ -26,6 +26,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Lets Spark delete the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds the batches that Python workers hold, however long the documents are.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+DURING_WRITES = {CLEANUP: "true", BATCH: "16m"}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -33,15 +36,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage: a lost executor costs one task, not the stages before,
     and values such as generated row ids no longer change on a retry. Shuffle files
-    that the write needed are deleted as it ends, as nothing reads them again.
+    that the write needed are deleted as it ends, as nothing reads them again, and
+    Python workers get batches of bounded size.
     """
     spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in DURING_WRITES}
+    for k, v in DURING_WRITES.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
