@@ -56,11 +56,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _made: list[str] = []
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far, but for the last ``keep``; results that still read them must be written first."""
+def made() -> int:
+    """How many written tables are still there."""
+    return len(_made)
+
+
+def release(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
+    """Delete the tables written after the first ``since``, but for the last ``keep``; results that still read them must be written first."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = _made[: len(_made) - keep]
-    del _made[: len(gone)]
+    gone = _made[since : max(since, len(_made) - keep)]
+    del _made[since : since + len(gone)]
     for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)

@@ -166,9 +166,10 @@ def test_stages_on_odd_and_empty_tables(spark, docs, odd_rows):
 def test_released_tables_are_gone(spark):
     from tamiz.llm import common
 
-    common.release(spark)
+    other = common.materialise(spark.range(2), "other")
+    before = common.made()
     first, last = common.materialise(spark.range(3), "first"), common.materialise(spark.range(4), "last")
-    common.release(spark, keep=1)
-    assert last.count() == 4
+    common.release(spark, keep=1, since=before)
+    assert last.count() == 4 and other.count() == 2 and common.made() == before + 1
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         first.count()
