@@ -206,6 +206,8 @@ def _block_links(members: DataFrame, texts: DataFrame, ngram: int, threshold: fl
     upper = sizes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
     lower = sizes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
     table = sizes.join(upper, ["cluster", "class"], "left").join(lower, ["cluster", "class"], "left").na.fill(0, ["above", "below"])
+    # One row per cluster and class: where they are few, the members of a large cluster stay where they are.
+    table = sized(materialise(table, "classes"))
     placed = classed.join(table, ["cluster", "class"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda j: j < n)
     unit = lambda step, i, j, side: F.struct(F.lit(step).alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
