@@ -80,8 +80,8 @@ def _presented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    """Lineitems of three lines as resolutions; a third of them under other numbers."""
-    items = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    """All lineitems as resolutions; a third of them under other numbers."""
+    items = table(spark, d, "lineitem")
     number = F.when(F.pmod("l_orderkey", F.lit(3)) != 0, F.concat(F.lit("N"), F.col("l_orderkey").cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("X"), F.col("l_orderkey").cast("string")))
     conclusion = F.when(F.pmod("l_partkey", F.lit(5)) == 0, F.lit("")).otherwise(F.col("l_returnflag"))
     tie = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
