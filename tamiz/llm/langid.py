@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import id_in, id_out, materialise
@@ -25,10 +25,10 @@ from tamiz.llm.html import declared_language, render
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3)
 DIMENSION = 1 << 16
-#: Labelled documents that the models are fitted on, in hash order of their ids.
-SAMPLE = 6000
-LANGUAGES = 64
-CACHED_WORDS = 300_000
+#: Documents that the model of each language label is fitted on, in hash order of their ids.
+SAMPLE = 1500
+#: Bounds of the words that are remembered, and of their values: one for each word and language.
+CACHED_WORDS, CACHED_VALUES = 300_000, 16_000_000
 LONGEST_WORD = 30
 #: Words beyond so many add no certainty: n-grams of one text are not independent.
 EFFECTIVE_WORDS = 40
@@ -77,7 +77,7 @@ class Scorer:
         if not words:
             return 0, np.zeros(len(self.model.languages))
         places = self.places
-        if len(places) > CACHED_WORDS:
+        if len(places) > min(CACHED_WORDS, CACHED_VALUES // len(self.model.languages)):
             places.clear()
         for w in set(words):
             if w not in places:
@@ -88,23 +88,38 @@ class Scorer:
         return len(words), self.table[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
 
 
+def language_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id and lang of at most ``sample`` documents of every label, the first in hash order.
+
+    Labels are counted over all documents. A hash threshold by that count leaves about
+    twice the sample of a frequent label, so that no task ranks all of its documents.
+    """
+    ids = materialise(labelled.select("doc_id", "lang"), "labels")
+    counts = F.broadcast(materialise(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")), "label-counts"))  # a row for each label
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = ids.join(counts, "lang").where(place * F.col("_n") < F.lit(2 * (sample + 50) << 30)).select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    return near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Text models from a bounded sample of documents with a language label; one task counts, the counts come back."""
-    labelled = docs.where("doc_id is not null and lang is not null and text is not null")
-    ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = F.broadcast(materialise(ids.distinct(), "sample"))  # at most ``sample`` rows
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("lang").alias("lang")).join(ids, "doc_id")
+    """Text models of all language labels, each from a bounded sample of its documents.
+
+    However rare, every label gets a model. A task counts one language at a time, and a row
+    of ``DIMENSION`` values for each comes back: the model grows with the number of languages only.
+    """
+    labelled = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("lang").alias("lang"))
+    ids = materialise(language_sample(labelled, sample), "sample")
+    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    rows = labelled.join(ids, ["doc_id", "lang"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        most = pdf["lang"].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[:LANGUAGES]
-        pdf = pdf[pdf["lang"].isin(most)]
         model = TextModel.fitted(pdf["text"].tolist(), pdf["lang"].tolist())
-        return pd.DataFrame({"languages": [model.languages], "logs": [model.logs.tobytes()]})
+        return pd.DataFrame({"lang": [model.languages[0]], "logs": [model.logs[:, 0].tobytes()]})
 
-    found = rows.groupBy().applyInPandas(count, "languages array<string>, logs binary").first()
-    if found is None:
-        return TextModel.fitted([], [])
-    return TextModel(list(found["languages"]), np.frombuffer(found["logs"], np.float32).reshape(DIMENSION, -1))
+    found = sorted(rows.groupBy("lang").applyInPandas(count, "lang string, logs binary").collect())
+    logs = [np.frombuffer(r["logs"], np.float32) for r in found]
+    return TextModel([*[r["lang"] for r in found], UNKNOWN], np.column_stack([*logs, np.full(DIMENSION, -np.log(DIMENSION), np.float32)]))
 
 
 def host_of(url: Column) -> Column:
