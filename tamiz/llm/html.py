@@ -63,6 +63,7 @@ def parse(html: str) -> Node:
     root = Node("html")
     stack = [root]
     body: Node | None = None
+    begun = False
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -111,7 +112,8 @@ def parse(html: str) -> Node:
                     break
             continue
         if name == "html":
-            root.attrs = root.attrs or m["attrs"]
+            if not begun:
+                root.attrs, begun = m["attrs"], True
             continue
         if name == "body":
             in_body()
@@ -348,11 +350,9 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
             _render(child, lines, depth, pre)
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page. Null and empty pages give an empty string."""
-    if not html:
-        return ""
-    lines = _flow(parse(html))
+def visible(tree: Node) -> str:
+    """All visible text of a parsed page."""
+    lines = _flow(tree)
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
@@ -360,13 +360,22 @@ def render(html: str | None) -> str:
     return "\n".join(lines)
 
 
-def declared_language(html: str | None) -> str:
-    """The primary subtag of the first lang or xml:lang attribute on the html element, else empty."""
-    m = re.search(r"<html\b([^>]*)", html[:4096] if html else "", re.I)
-    attrs = Node("html", m[1]).attributes() if m else {}
+def render(html: str | None) -> str:
+    """All visible text of a page. Null and empty pages give an empty string."""
+    return visible(parse(html)) if html else ""
+
+
+def language_of(tree: Node) -> str:
+    """The primary subtag of the lang or else xml:lang attribute on the html element of a parsed page, else empty."""
+    attrs = tree.attributes()
     return (attrs.get("lang") or attrs.get("xml:lang") or "").strip().lower().replace("_", "-").split("-")[0]
 
 
+def declared_language(html: str | None) -> str:
+    """What ``language_of`` finds, wherever on the page the html tag starts; tags in comments and scripts do not count."""
+    return language_of(parse(html)) if html else ""
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_lines for every row of ``pages``.
 

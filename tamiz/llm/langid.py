@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import id_in, id_out, materialise
-from tamiz.llm.html import declared_language, render
+from tamiz.llm.html import language_of, parse, visible
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3)
@@ -147,9 +147,13 @@ def text_evidence(records: DataFrame, model: TextModel, *extra: str) -> DataFram
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(model)
         for pdf in frames:
-            raw, page = pdf.pop("raw"), (pdf["kind"] == "page").tolist()
-            declared = [declared_language(x) if p else d for x, p, d in zip(raw, page, pdf["declared"], strict=True)]
-            found = [score(render(x) if p else x) for x, p in zip(raw, page, strict=True)]
+            declared, found = [], []
+            for x, kind, said in zip(pdf.pop("raw"), pdf["kind"], pdf["declared"], strict=True):
+                if kind == "page":
+                    tree = parse(x or "")
+                    x, said = visible(tree), language_of(tree)
+                declared.append(said)
+                found.append(score(x))
             tempered = [ll * min(1.0, EFFECTIVE_WORDS / max(n, 1)) for n, ll in found]
             yield pdf.assign(declared=declared, words=[n for n, _ in found], likelihood=[t - t.max() for t in tempered])
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from tamiz.llm import langid
+import pytest
+
+from tamiz.llm import html, langid
 
 
 def invented(rng, letters, n):
@@ -28,3 +30,19 @@ def test_rare_language_beside_a_frequent_one(docs):
     taken = [r["lang"] for r in langid.language_sample(labelled, 20).collect()]
     assert (taken.count("en"), taken.count("rare")) == (20, 1)
     assert langid.fit(docs(rows), 20).languages == ["en", "rare", "und"]
+
+
+@pytest.mark.parametrize(
+    ("page", "declared"),
+    [
+        (f"<!-- {'licence ' * 900}--><html lang=de><p>x", "de"),
+        (f"{' ' * 4090}<html class=wide lang='fr-CA'><p>x", "fr"),
+        ("<!-- <html lang=en> --><html lang=es><p>x", "es"),
+        ("<html><p>x<html lang=en>", ""),
+    ],
+)
+def test_declaration_anywhere(page, declared, docs, spark):
+    assert html.declared_language(page) == declared
+    pages = spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")
+    model = langid.fit(docs([(1, "der die das", "de")]))
+    assert [r["declared"] for r in langid.text_evidence(langid.page_records(pages), model).collect()] == [declared]
