@@ -22,7 +22,11 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe object embed audio video canvas svg math datalist select option textarea noembed noframes meta link base".split())
+UNSEEN = frozenset("head script style template title noscript iframe object embed audio video canvas datalist noembed noframes meta link base".split())
+#: Drawings and formulas: what they hold without showing it, and the parts whose text stands apart from its neighbours'.
+FOREIGN = frozenset("svg math".split())
+UNSHOWN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter script style annotation annotation-xml".split())
+APART = frozenset("svg g text mtr mlabeledtr mtd foreignobject".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure fieldset hr".split())
 CLOSES_P = (BLOCK | {"table"}) - {"html", "body", "caption", "legend"}
@@ -76,6 +80,13 @@ def parse(html: str) -> Node:
             root.children.append(body)
             stack.append(body)
 
+    def in_foreign(name: str) -> bool:
+        """Whether an element is part of a drawing or formula, where a slash closes it."""
+        if name in FOREIGN:
+            return True
+        inner = next((n.name for n in reversed(stack) if n.name in FOREIGN or n.name == "foreignobject"), "")
+        return inner in FOREIGN
+
     def text(s: str) -> None:
         if not s:
             return
@@ -149,9 +160,9 @@ def parse(html: str) -> Node:
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
             upto = stop.start() if stop else end
-            node.children.append(html[at:upto])
+            node.children.append(unescape(html[at:upto]) if name == "textarea" else html[at:upto])
             at = html.find(">", upto) + 1 or end if stop else end
-        elif name not in VOID and not (m["attrs"].endswith("/") and name in ("svg", "path")) and len(stack) < MAX_DEPTH:
+        elif name not in VOID and not (m["attrs"].endswith("/") and in_foreign(name)) and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
@@ -267,6 +278,38 @@ def _aligned(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
+def _foreign(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
+    """Text of a drawing or formula, inline; labels and cells stand apart."""
+    for child in node.children:
+        if isinstance(child, str):
+            lines.put(child)
+        elif child.name not in UNSHOWN and not hidden(child) and child.attributes().get("display", "").strip() != "none":
+            if child.name in APART:
+                lines.put(" ")
+            if child.name == "foreignobject":
+                _render(child, lines, depth, pre)
+            else:
+                _foreign(child, lines, depth, pre)
+            if child.name in APART:
+                lines.put(" ")
+
+
+def _options(node: Node, all_of_them: bool) -> list[Node]:
+    """Options of a list box, all of them; of a closed list, which shows one value, the last that the markup selects."""
+    found: list[Node] = []
+    for child in node.children:
+        if isinstance(child, Node) and not hidden(child):
+            if child.name == "option":
+                found.append(child)
+            elif child.name == "optgroup" and all_of_them:
+                head = Node("optgroup")
+                head.children = [child.attributes().get("label", "")]
+                found += [head, *_options(child, True)]
+            else:
+                found += _options(child, True)
+    return found if all_of_them else [x for x in found if x.name == "option" and "selected" in x.attributes()][-1:]
+
+
 def _flow(node: Node) -> list[str]:
     lines = _Lines()
     _render(node, lines, 0, False)
@@ -301,6 +344,19 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
             attrs = child.attributes()
             if attrs.get("type", "text").lower() in ("button", "submit", "reset", "text", "email", "search", "url", "tel", "number"):
                 lines.put(attrs.get("value", ""))
+        elif name in FOREIGN:
+            _foreign(child, lines, depth, pre)
+        elif name == "textarea":
+            held = Node("span")
+            held.children = [x[1:] if x.startswith("\n") else x for x in (c.replace("\r\n", "\n") for c in child.children if isinstance(c, str))]
+            _render(held, lines, depth, True)
+        elif name == "select":
+            attrs = child.attributes()
+            size = re.fullmatch(r"\s*(\d{1,9})\s*", attrs.get("size", ""))
+            for option in _options(child, "multiple" in attrs or bool(size and int(size[1]) > 1)):
+                lines.put(" ")
+                _render(option, lines, depth, False)
+                lines.put(" ")
         elif name in ("ul", "ol", "menu", "dir"):
             gap = 1 if depth else 2
             lines.end(gap)

@@ -46,3 +46,21 @@ def test_declaration_anywhere(page, declared, docs, spark):
     pages = spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")
     model = langid.fit(docs([(1, "der die das", "de")]))
     assert [r["declared"] for r in langid.text_evidence(langid.page_records(pages), model).collect()] == [declared]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds", "so x=2 holds"),
+        ("a <svg><title>no</title><defs><text>no</text></defs><rect/><desc/><text>North</text><g><text>South</text></g></svg> b", "a North South b"),
+        ("<svg><text display='none'>no</text><foreignObject><p>in</p></foreignObject></svg>", "in"),
+        ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2 3"),
+        ("say: <textarea>\nfirst &amp; one\n  second</textarea> end", "say: first & one\n  second end"),
+        ("<select multiple><option>a<option>b</select> c", "a b c"),
+        ("<select size=3><optgroup label=G><option>a<option hidden>x<option>b</optgroup></select>", "G a b"),
+        ("<select><option>a<option selected>b</select> c", "b c"),
+        ("<datalist><option>no</datalist>x", "x"),
+    ],
+)
+def test_formulas_drawings_and_fields_are_visible(page, text):
+    assert html.render(page) == text
