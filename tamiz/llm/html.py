@@ -38,8 +38,8 @@ IMPLIED_END = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table", "thead", "tbody", "tfoot"}),
-    "td": ({"td", "th", "caption"}, {"tr", "table"}),
-    "th": ({"td", "th", "caption"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
@@ -87,6 +87,19 @@ def parse(html: str) -> Node:
         inner = next((n.name for n in reversed(stack) if n.name in FOREIGN or n.name == "foreignobject"), "")
         return inner in FOREIGN
 
+    def implied_row() -> None:
+        """A row for a cell that starts in a table or a section of one, outside any row."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in ("tr", "td", "th"):
+                return
+            if stack[i].name in ("table", "thead", "tbody", "tfoot"):
+                close(i + 1)
+                if len(stack) < MAX_DEPTH:
+                    row = Node("tr")
+                    stack[-1].children.append(row)
+                    stack.append(row)
+                return
+
     def text(s: str) -> None:
         if not s:
             return
@@ -155,6 +168,8 @@ def parse(html: str) -> Node:
                     first = i
             if first is not None:
                 close(first)
+        if name in ("td", "th"):
+            implied_row()
         node = Node(name, m["attrs"])
         stack[-1].children.append(node)
         if name in RAW:

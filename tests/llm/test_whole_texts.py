@@ -64,3 +64,20 @@ def test_declaration_anywhere(page, declared, docs, spark):
 )
 def test_formulas_drawings_and_fields_are_visible(page, text):
     assert html.render(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><th>Name<th>Qty<tr><td>kiwi long<td>2</table>", "Name       Qty\nkiwi long  2"),
+        ("<table><tbody><td>a</td><td>b</td><tr><td>c<td>d</tbody><tfoot><td>e<td>f</table>", "a  b\nc  d\ne  f"),
+        ("<table><caption>C<td>a<td>b</table>", "C\na  b"),
+        ("<table><colgroup><col><td>a<td>b</table>", "a  b"),
+        ("<table><tr><td>a</tr><td>b<td>c</table>", "a\nb  c"),
+        ("<table><form><td>a<td>b</form></table>", "a  b"),
+        ("<table><td><table><td>a<td>b</table><td>c</table>", "a  b  c"),
+    ],
+)
+def test_rows_that_the_markup_leaves_out(page, text):
+    assert html.render(page) == text
