@@ -29,7 +29,8 @@ DIMENSION = 1 << 16
 SAMPLE = 1500
 #: Bounds of the words that are remembered, and of their values: one for each word and language.
 CACHED_WORDS, CACHED_VALUES = 300_000, 16_000_000
-LONGEST_WORD = 30
+#: Longer runs of letters are not remembered, and count as one word for every so many letters when evidence is tempered.
+LONGEST_CACHED = 30
 #: Words beyond so many add no certainty: n-grams of one text are not independent.
 EFFECTIVE_WORDS = 40
 #: Pseudo-counts: of n-grams, of declarations, and of the level above for suffixes and hosts.
@@ -40,8 +41,8 @@ UNKNOWN = "und"
 
 
 def word_grams(word: str) -> list[int]:
-    """Hashed character n-grams of a lower-case word with both ends marked."""
-    w = f"^{word[:LONGEST_WORD]}$"
+    """Hashed character n-grams of a lower-case word of any length with both ends marked."""
+    w = f"^{word}$"
     return [crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % DIMENSION for n in GRAMS for i in range(len(w) - n + 1)]
 
 
@@ -71,21 +72,32 @@ class Scorer:
         self.model, self.places = model, {}
         self.table = np.zeros((1024, len(model.languages)), np.float32)
 
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of words, and the sum of their log-likelihoods by language."""
+    def likelihood(self, word: str) -> np.ndarray:
+        """Of a long word, in bounded pieces of its n-grams."""
+        grams = word_grams(word)
+        return sum(self.model.logs[grams[i : i + 4096]].sum(axis=0, dtype=np.float64) for i in range(0, len(grams), 4096))
+
+    def __call__(self, text: str | None) -> tuple[int, np.ndarray, int]:
+        """Number of words, the sum of their log-likelihoods by language, and the words that they count as."""
         words = WORD.findall((text or "").lower())
         if not words:
-            return 0, np.zeros(len(self.model.languages))
-        places = self.places
+            return 0, np.zeros(len(self.model.languages)), 0
+        n, places = len(words), self.places
+        long = [w for w in words if len(w) > LONGEST_CACHED]
+        if long:
+            words = [w for w in words if len(w) <= LONGEST_CACHED]
         if len(places) > min(CACHED_WORDS, CACHED_VALUES // len(self.model.languages)):
             places.clear()
         for w in set(words):
             if w not in places:
-                n = places[w] = len(places)
-                if n >= len(self.table):
+                k = places[w] = len(places)
+                if k >= len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[n] = self.model.logs[word_grams(w)].sum(axis=0)
-        return len(words), self.table[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+                self.table[k] = self.model.logs[word_grams(w)].sum(axis=0)
+        total = self.table[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+        for w in long:
+            total += self.likelihood(w)
+        return n, total, len(words) + sum(-(-len(w) // LONGEST_CACHED) for w in long)
 
 
 def language_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -154,8 +166,8 @@ def text_evidence(records: DataFrame, model: TextModel, *extra: str) -> DataFram
                     x, said = visible(tree), language_of(tree)
                 declared.append(said)
                 found.append(score(x))
-            tempered = [ll * min(1.0, EFFECTIVE_WORDS / max(n, 1)) for n, ll in found]
-            yield pdf.assign(declared=declared, words=[n for n, _ in found], likelihood=[t - t.max() for t in tempered])
+            tempered = [ll * min(1.0, EFFECTIVE_WORDS / max(units, 1)) for _, ll, units in found]
+            yield pdf.assign(declared=declared, words=[n for n, *_ in found], likelihood=[t - t.max() for t in tempered])
 
     return records.mapInPandas(batches, schema)
 

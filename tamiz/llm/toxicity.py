@@ -30,12 +30,12 @@ GRAMS = (4, 5)
 #: A feature takes part if it is in so many confirmed documents, is more frequent there by so many
 #: standard errors, and if by the prior so great a share of all documents with it is toxic.
 LEAST_COUNT, LEAST_Z, LEAST_SHARE = 3, 4.0, 0.4
-CACHED_WORDS = 300_000
+#: Words that are remembered, and the longest of them: longer runs of letters are worked out anew each time.
+CACHED_WORDS, LONGEST_CACHED = 300_000, 40
 EPOCHS, BATCH, RATE, DECAY = 15, 512, 0.005, 1e-3
 THRESHOLD = 0.3
 #: Fold that is never learnt from: crc32 of the id, mod 4.
 FOLDS, HELD_OUT = 4, 2
-LONGEST_WORD = 40
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,8 +44,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_features(word: str, dimension: int = DIMENSION) -> set[int]:
-    """Hashed indices of a word: itself, and its character n-grams with both ends marked."""
-    w = f"^{word[:LONGEST_WORD]}$"
+    """Hashed indices of a word of any length: itself, and its character n-grams with both ends marked."""
+    w = f"^{word}$"
     names = {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
     names.add(w)
     return {crc32(x.encode("utf-8", "surrogatepass")) % dimension for x in names}
@@ -58,15 +58,20 @@ class Features:
         self.dimension, self.wanted = dimension, wanted
         self.words: dict[str, frozenset[int]] = {}
 
+    def features(self, word: str) -> frozenset[int]:
+        found = word_features(word, self.dimension)
+        return frozenset(found if self.wanted is None else found & self.wanted)
+
     def __call__(self, text: str | None) -> np.ndarray:
         words = set(WORD.findall((text or "").lower()))
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
+        long = {w for w in words if len(w) > LONGEST_CACHED}
+        words -= long
         for w in words:
             if w not in self.words:
-                found = word_features(w, self.dimension)
-                self.words[w] = frozenset(found if self.wanted is None else found & self.wanted)
-        index = frozenset().union(*map(self.words.__getitem__, words))
+                self.words[w] = self.features(w)
+        index = frozenset().union(*map(self.words.__getitem__, words), *map(self.features, long))
         return np.fromiter(index, np.int32, len(index))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from tamiz.llm import html, langid
+from tamiz.llm import html, langid, toxicity
 
 
 def invented(rng, letters, n):
@@ -81,3 +82,23 @@ def test_formulas_drawings_and_fields_are_visible(page, text):
 )
 def test_rows_that_the_markup_leaves_out(page, text):
     assert html.render(page) == text
+
+
+def test_every_letter_of_a_run_counts():
+    filler = "".join(random.Random(23).choice("abcdef") for _ in range(300))
+    for run in (filler + "grolik", filler[:45] + "grolik" + filler):
+        assert toxicity.word_features("grolik") & toxicity.word_features(run)
+        make = toxicity.Features(wanted=toxicity.word_features("rolik"))
+        assert len(make(f"x {run}")) and run not in make.words
+    assert toxicity.word_features(filler + "x") != toxicity.word_features(filler + "y")
+
+
+def test_language_of_a_long_run_is_not_that_of_its_head():
+    rng = random.Random(24)
+    head, rest = ("".join(rng.choice(x) for _ in range(n)) for x, n in (("abcdef", 40), ("mnopqr", 9000)))
+    model = langid.TextModel.fitted(["".join(rng.choice(x) for _ in range(4000)) for x in ("abcdef", "mnopqr")], ["one", "two"])
+    scorer = langid.Scorer(model)
+    n, likelihood, units = scorer(head + rest)
+    assert (n, units) == (1, 302) and model.languages[int(likelihood.argmax())] == "two"
+    assert likelihood == pytest.approx(np.sum(model.logs[langid.word_grams(head + rest)], axis=0, dtype=np.float64), rel=1e-5)
+    assert not scorer.places
