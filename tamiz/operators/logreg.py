@@ -137,12 +137,12 @@ def sgd_exact(sparse: DataFrame, dimension: int, config: TrainConfig) -> Linear:
 
 
 def vectors(sparse: DataFrame, dimension: int) -> DataFrame:
-    """label and features as library vectors, built batch-wise."""
-    from pyspark.ml.functions import array_to_vector
+    """label and features as sparse library vectors: a row holds the values that it has, whatever the dimension."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    pairs = F.map_from_entries(F.transform("features", lambda f: F.struct(f["idx"], f["value"])))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at(pairs, i.cast("long")), F.lit(0.0)))
-    return sparse.select("row_id", F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"))
+    make = F.udf(lambda index, value: SparseVector(dimension, index, value), VectorUDT())
+    ordered = F.array_sort("features")
+    return sparse.select("row_id", F.col("label").cast("double").alias("label"), make(ordered["idx"], ordered["value"]).alias("features"))
 
 
 def library(sparse: DataFrame, dimension: int, config: TrainConfig) -> Linear:

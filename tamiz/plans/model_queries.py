@@ -56,7 +56,7 @@ def sgd_exact_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mllib_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(max_features=500, trainer="library")))
+    return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(trainer="library")))
 
 
 def train_evaluate(spark: SparkSession, d: str) -> DataFrame:

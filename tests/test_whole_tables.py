@@ -6,7 +6,8 @@ import datetime as dt
 
 import pytest
 
-from tamiz.plans import registry
+from tamiz.operators import logreg
+from tamiz.plans import model_queries, registry
 
 
 @pytest.fixture
@@ -32,3 +33,18 @@ def test_legacy_and_coverage_read_every_line(spark, late_lines):
     assert legacy == [("nro", 8, 8)]
     covered = sorted(tuple(r) for r in registry.QUERIES["coverage_by_year"](spark, late_lines).collect())
     assert covered == [(1995, 7, 7, 100.0), (1996, 1, 1, 100.0)]
+
+
+def test_library_vectors_are_sparse(spark):
+    rows = [(1, 1, [(4999, 0.5), (3, 0.1)]), (2, 0, [])]
+    frame = spark.createDataFrame(rows, "row_id long, label int, features array<struct<idx:bigint,value:double>>")
+    got = {r["row_id"]: r["features"] for r in logreg.vectors(frame, 5000).collect()}
+    assert {k: (type(v).__name__, v.size, v.indices.tolist(), v.values.tolist()) for k, v in got.items()} == {1: ("SparseVector", 5000, [3, 4999], [0.1, 0.5]), 2: ("SparseVector", 5000, [], [])}
+
+
+def test_library_query_has_the_whole_vocabulary(spark, monkeypatch):
+    configs = []
+    monkeypatch.setattr(model_queries.M, "run_once", lambda records, config: configs.append(config.normalised()))
+    monkeypatch.setattr(model_queries.M, "evaluate", lambda run: None)
+    model_queries.mllib_metrics(spark, "/root/testdata/sf0.001")
+    assert configs[0].max_features == model_queries.M.RunConfig().max_features and configs[0].trainer == "library"
