@@ -64,6 +64,8 @@ def train_evaluate(spark: SparkSession, d: str) -> DataFrame:
 
 
 ANCHOR, COUNT, SEED = "2026-01-01", 20_000, 42
+#: Complaints that the query draws, as many as the reference; its SQL draws the first COUNT of them.
+DRAWS = 1_000_000
 
 
 def _source(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +78,7 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synth_complaints(spark: SparkSession, d: str) -> DataFrame:
-    made = synth.synthesise(_source(spark, d), COUNT, ANCHOR, SEED)
+    made = synth.synthesise(_source(spark, d), DRAWS, ANCHOR, SEED)
     return made.select("n", "entity", "matter", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "text", F.col("spam").cast("long").alias("spam"), F.array_join("tags", ";").alias("tags"), F.round("score", 6).alias("score"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tamiz.operators import logreg
 from tamiz.plans import model_queries, registry
@@ -48,3 +50,17 @@ def test_library_query_has_the_whole_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(model_queries.M, "evaluate", lambda run: None)
     model_queries.mllib_metrics(spark, "/root/testdata/sf0.001")
     assert configs[0].max_features == model_queries.M.RunConfig().max_features and configs[0].trainer == "library"
+
+
+def test_generator_draws_as_many_as_the_reference(spark):
+    d = "/root/testdata/sf0.001"
+    made = registry.QUERIES["synth_complaints"](spark, d).cache()
+    rows, last = made.agg(F.count(F.lit(1)), F.max("n")).first()
+    assert 950_000 < rows <= 1_000_000 and 999_000 < last < 1_000_000
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{d}/orders.parquet'")
+    relation = con.sql(registry.ORACLE_SQL["synth_complaints"])
+    text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    got = sorted(tuple(text(r[c]) for c in relation.columns) for r in made.where(F.col("n") < model_queries.COUNT).collect())
+    assert got == sorted(tuple(map(text, r)) for r in relation.fetchall())
+    made.unpersist()
