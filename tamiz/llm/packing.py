@@ -66,7 +66,7 @@ class WordIds:
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
             found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 

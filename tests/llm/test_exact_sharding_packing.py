@@ -182,3 +182,10 @@ def test_packing(docs, odd_rows):
 def test_word_ids_equal_the_tokenizers(text):
     whole = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
     assert packing.WordIds(TOKENIZER).encode([text]) == [np.array(whole, "<u4").tobytes()]
+
+
+def test_word_ids_of_every_code_point_below_u3000():
+    words = packing.WordIds(TOKENIZER)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x3000) for a, b in (("a", "b"), (" don't", ".")) if not 0xD800 <= c < 0xE000]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == expected
