@@ -63,9 +63,9 @@ def train_evaluate(spark: SparkSession, d: str) -> DataFrame:
     return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(rate=0.5, threshold=0.2)))
 
 
-ANCHOR, COUNT, SEED = "2026-01-01", 20_000, 42
-#: Complaints that the query draws, as many as the reference; its SQL draws the first COUNT of them.
-DRAWS = 1_000_000
+ANCHOR, SEED = "2026-01-01", 42
+#: Complaints that the query draws: as many as the reference, and more where the source is so large that each record would be drawn less than so often.
+DRAWS, DRAWS_PER_RECORD = 1_000_000, 5
 
 
 def _source(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,8 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synth_complaints(spark: SparkSession, d: str) -> DataFrame:
-    made = synth.synthesise(_source(spark, d), DRAWS, ANCHOR, SEED)
+    draws = max(DRAWS, DRAWS_PER_RECORD * table(spark, d, "orders").count())
+    made = synth.synthesise(_source(spark, d), draws, ANCHOR, SEED)
     return made.select("n", "entity", "matter", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "text", F.col("spam").cast("long").alias("spam"), F.array_join("tags", ";").alias("tags"), F.round("score", 6).alias("score"))
 
 
@@ -137,7 +138,7 @@ _SHARE = lambda share: int(share * synth.RESOLUTION)
 _TAGS = ", ".join(f"CASE WHEN strikes > {k} THEN {_list_sql(synth.TAGS)}[{_draw_sql(f'anomaly-{k}')} % 4 + 1] END" for k in range(synth.MOST_ANOMALIES))
 _SYNTH = f"""WITH o AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS position, CASE WHEN o_orderkey % 30 <> 0 THEN 'Cliente ' || o_custkey ELSE '' END AS entity, o_orderpriority AS matter,
         CASE WHEN o_orderkey % 20 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
-    drawn AS (SELECT n, {_draw_sql("sample")} % (SELECT count(*) FROM orders) AS position FROM (SELECT unnest(range({COUNT})) AS n)),
+    drawn AS (SELECT n, {_draw_sql("sample")} % (SELECT count(*) FROM orders) AS position FROM (SELECT unnest(range(greatest({DRAWS}, {DRAWS_PER_RECORD} * (SELECT count(*) FROM orders)))) AS n)),
     t AS (SELECT n, entity, matter, CAST(coalesce(day, DATE '{ANCHOR}' - CAST({_draw_sql("back")} % 365 AS INTEGER)) AS TIMESTAMP) + to_seconds({_hour_sql()} * 3600 + {_draw_sql("minute")} % 60 * 60 + {_draw_sql("second")} % 60) AS ts,
         {_pick_sql(synth.OPENINGS, "opening")} || ' contra ' || CASE WHEN trim(entity) = '' THEN '{synth.NO_ENTITY}' ELSE trim(entity) END || ' por problemas relacionados con ' || trim(matter) || '. ' || {_pick_sql(synth.REQUESTS, "request")} AS text,
         CASE WHEN {_draw_sql("spam")} < {_SHARE(synth.ANOMALY_SHARE)} THEN {_draw_sql("strikes")} % 3 + 1 ELSE 0 END AS strikes FROM drawn JOIN o USING (position)),

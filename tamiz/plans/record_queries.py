@@ -168,8 +168,12 @@ def best_config(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Presented records that neither their number nor their origin resolves."""
+    keyed = [f.withColumns({c: merge.match_key(F.col(c)) for c in ("NRO_EXPEDIENTE", "EXPEDIENTE_ORIGEN")}) for f in (_presented(spark, d), _resolved(spark, d))]
+    left = keyed[0]
+    for c in ("NRO_EXPEDIENTE", "EXPEDIENTE_ORIGEN"):
+        left = left.join(keyed[1].select(c), c, "left_anti")
+    return left.select("NRO_EXPEDIENTE", "EXPEDIENTE_ORIGEN", "año_pres")
 
 
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +242,7 @@ _PRINT_SQL = " ".join(f"WHEN {i} THEN strftime(date_trunc('{unit}', ts), '%Y-%m-
 
 _PRESENTED_SQL = "p AS (SELECT 'N' || o_orderkey AS nro, CASE WHEN o_orderkey % 7 <> 0 THEN 'C' || (o_orderkey % 4000) END AS ori, year(o_orderdate) AS y FROM orders)"
 _RESOLVED_SQL = """r AS (SELECT CASE WHEN l_orderkey % 3 <> 0 THEN 'N' || l_orderkey ELSE 'X' || l_orderkey END AS nro, 'C' || (l_orderkey % 4000) AS ori, year(l_shipdate) AS y,
-        CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_returnflag END AS f, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_linenumber <= 3),
+        CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_returnflag END AS f, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS pos FROM lineitem),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ori ORDER BY y DESC NULLS FIRST, pos DESC) AS rn FROM r) WHERE rn = 1)"""
 _MATCH_SQL = f"""{_PRESENTED_SQL}, {_RESOLVED_SQL}, m AS (SELECT p.nro, p.ori, p.y AS y_pres, CASE WHEN r.nro IS NOT NULL THEN 'nro' WHEN u.ori IS NOT NULL THEN 'origen' ELSE 'none' END AS src,
     coalesce(r.y, u.y) AS y_res, coalesce(nullif(r.f, ''), u.f) AS f FROM p LEFT JOIN r ON p.nro = r.nro LEFT JOIN u ON p.ori = u.ori)"""
@@ -299,7 +303,7 @@ ORACLE_SQL = {
     "trimmed_mean": f"SELECT user_id, round({trimmed_sql('value')}, 6) AS trimmed, round(coalesce(avg(value), 0.0), 6) AS mean FROM events GROUP BY user_id",
     "stage_means": _STAGE_SQL,
     "best_config": f"SELECT workers, processing FROM ({_STAGE_SQL}) ORDER BY processing, workers LIMIT 1",
-    "unmatched_rows": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "unmatched_rows": f"WITH {_MATCH_SQL} SELECT nro AS NRO_EXPEDIENTE, ori AS EXPEDIENTE_ORIGEN, CAST(y_pres AS INTEGER) AS año_pres FROM m WHERE src = 'none'",
     "null_profile": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IS NULL) AS a, count(*) FILTER (WHERE text IS NULL OR doc_id % 10 = 0) AS b, count(*) FILTER (WHERE lang IS NULL OR lang = 'es') AS l, count(*) FILTER (WHERE source IS NULL) AS s, count(*) FILTER (WHERE n_chars IS NULL) AS k FROM documents)
         SELECT column_name, nulls, round(100.0 * nulls / n, 6) AS percent FROM (SELECT n, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name, unnest([a, b, l, s, k]) AS nulls FROM c)""",
     "rule_duplicates": "SELECT doc_id, count(*) OVER (PARTITION BY text) >= 3 AS fires FROM documents",
