@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,16 +17,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+def shared_folder(configured: str | None, master: str) -> str:
+    """The folder that all executors share. Without one, a temporary folder does for a session that is a single process; for any other master it is an error."""
+    if configured:
+        return configured.rstrip("/")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+    return "file://" + tempfile.mkdtemp(prefix="tamiz-")
 
-    Only where that is unset (a local test session) a temporary one is made.
-    """
+
+def scratch_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; only where that is unset in a local session (as in tests) a temporary folder is made and set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(found, spark.sparkContext.master)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tamiz-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 #: Lets Spark delete the shuffle files of a query when it ends.
@@ -48,29 +59,62 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    _made.append(path)
+    _tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables written so far in this process, oldest first.
-_made: list[str] = []
+#: Tables that the current run wrote, oldest first. A thread has a list of its own, and so has every ``own_tables`` block.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def _tables() -> list[str]:
+    found = _made.get()
+    if found is None:
+        _made.set(found := [])
+    return found
+
+
+@contextmanager
+def own_tables() -> Iterator[None]:
+    """What is written inside is not released by a run outside, nor the other way round."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        _made.reset(token)
 
 
 def made() -> int:
-    """How many written tables are still there."""
-    return len(_made)
+    """How many written tables of this run are still there."""
+    return len(_tables())
 
 
-def release(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
-    """Delete the tables written after the first ``since``, but for the last ``keep``; results that still read them must be written first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = _made[since : max(since, len(_made) - keep)]
-    del _made[since : since + len(gone)]
+def release(spark: SparkSession, keep: int = 0, since: int = 0, read_by: DataFrame | None = None) -> None:
+    """Delete this run's tables after the first ``since``, but for the last ``keep`` and for those that ``read_by`` reads."""
+    jvm, conf, mine = spark._jvm, spark._jsc.hadoopConfiguration(), _tables()
+    gone = mine[since : max(since, len(mine) - keep)]
+    if read_by is not None:
+        read = {unquote(f).rpartition("/")[0].rpartition("/")[2] for f in read_by.inputFiles()}
+        gone = [path for path in gone if path.rpartition("/")[2] not in read]
     for path in gone:
+        mine.remove(path)
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
 
+def releasing(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, with the tables deleted that it wrote on its way and its result does not read."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with own_tables():
+            result = query(spark, sf_dir)
+            release(spark, read_by=result)
+            return result
+
+    return run
+
+
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few, else as it is."""
     n = df.count() if rows is None else rows

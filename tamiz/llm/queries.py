@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm import exact_dedup, html, langid, line_dedup, mixing, near_dups, packing, sharding, topk, toxicity
+from tamiz.llm.common import releasing
 from tamiz.sources.tables import table
 
 
@@ -66,16 +67,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity_nnpu": op1_toxicity_nnpu,
-    "op2_html_extraction": op2_html_extraction,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_sharding": op4_sharding,
-    "op5_exact_dedup": op5_exact_dedup,
-    "op6_mixing": op6_mixing,
-    "op7_topk_maxscore": op7_topk_maxscore,
-    "op8_language_id": op8_language_id,
-    "op9_line_dedup": op9_line_dedup,
-    "op10_ngram_jaccard": op10_ngram_jaccard,
+    f.__name__: releasing(f)
+    for f in (op1_toxicity_nnpu, op2_html_extraction, op3_best_fit_packing, op4_sharding, op5_exact_dedup, op6_mixing, op7_topk_maxscore, op8_language_id, op9_line_dedup, op10_ngram_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {

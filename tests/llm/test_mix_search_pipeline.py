@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -173,3 +174,33 @@ def test_released_tables_are_gone(spark):
     assert last.count() == 4 and other.count() == 2 and common.made() == before + 1
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         first.count()
+
+
+def test_runs_release_their_own_tables_only(spark, tmp_path):
+    from tamiz.llm import common, queries
+
+    other = common.materialise(spark.range(2), "other")
+    with common.own_tables():
+        kept, gone = common.materialise(spark.range(3), "kept"), common.materialise(spark.range(4), "gone")
+        common.release(spark, read_by=kept.where("id > 0"))
+        assert kept.count() == 3 and common.made() == 1
+        with pytest.raises(Exception, match=r"(?i)not.*exist"):
+            gone.count()
+    assert other.count() == 2
+    spark.range(0, 40).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    root = common.scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    found = queries.QUERIES["op4_sharding"](spark, str(tmp_path))
+    assert found.count() == 40 and {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == {"sizes", "slots", "slot-map"}
+    found = queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path))
+    assert found.count() == 40
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://host"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from tamiz.llm import common
+
+    assert common.shared_folder("hdfs://x/y/", master) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="share"):
+        common.shared_folder(None, master)
+    assert common.shared_folder(None, "local[4]").startswith("file://")
