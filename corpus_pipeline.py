@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tamiz.llm import exact_dedup, langid, mixing, near_dups, packing
-from tamiz.llm.common import made, materialise, release
+from tamiz.llm.common import materialise, own_tables, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -56,8 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark, keep=1, since=others)  # what this run wrote before: the stage's own tables, and the stage before
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with own_tables():
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            release(spark, keep=1)  # the stage's own tables, and the stage before
+        result = STAGES[-1][1](spark, docs, sf_dir)
+        release(spark, read_by=result)
+    return result
