@@ -1,28 +1,32 @@
 """Layout-aware HTML rendering: a tree builder with implied tags, then visible text.
 
 The builder opens and closes what the markup leaves out (html, body, p, li, rows,
-cells), the renderer drops what a browser would not show, and prints blocks apart,
-lists with markers and indents, and table cells in aligned columns.
+cells), the renderer drops what a browser would not show (see ``visibility``), and prints
+blocks apart, lists with markers and indents, and table cells in aligned columns. Nothing
+limits depth, width or length: a colspan or rowspan of any number of digits counts as the most that HTML
+allows, and elements nest without bound.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
-from html import unescape
+import sys
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.visibility import Node, entities, mark
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe object embed audio video canvas datalist noembed noframes meta link base".split())
 #: Drawings and formulas: what they hold without showing it, and the parts whose text stands apart from its neighbours'.
 FOREIGN = frozenset("svg math".split())
 UNSHOWN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter script style annotation annotation-xml".split())
@@ -45,60 +49,71 @@ IMPLIED_END = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 HEAD_ONLY = frozenset("base link meta title style script template noscript head".split())
-MAX_DEPTH = 256
+#: What ends the search for a paragraph to close, and where a cell may stand without a row.
+P_SCOPE = ("td", "th", "table", "li", "button", "caption")
+SECTIONS = ("table", "thead", "tbody", "tfoot")
+# The most columns and rows that HTML lets a cell span.
+COLSPAN, ROWSPAN = 1000, 65534
+#: Padding that a table may have, besides 16 times its text; one that would need more keeps all its text, but unaligned.
+PADDING = 1 << 22
+
 
+class _Open:
+    """The open elements, and at which depths those of a name stand: no step looks through all of them."""
 
-class Node:
-    """An element; children are nodes and strings."""
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
 
-    __slots__ = ("attrs", "children", "name")
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
 
-    def __init__(self, name: str, attrs: str = "") -> None:
-        self.name, self.attrs, self.children = name, attrs, []
+    def close(self, upto: int) -> None:
+        """Close the elements from depth ``upto`` on; the root stays."""
+        while len(self.stack) > upto:
+            self.at[self.stack.pop().name].pop()
 
-    def attributes(self) -> dict[str, str]:
-        if not self.attrs.strip(" /"):
-            return {}
-        return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTR.finditer(self.attrs)))}
+    def inner(self, names: Iterable[str]) -> int:
+        """The depth of the innermost open element with one of these names, or 0."""
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=0)
+
+    def outer(self, names: Iterable[str], above: int) -> int:
+        """The depth of the outermost one that is deeper than ``above``, or 0."""
+        found = [places[k] for n in names if (places := self.at.get(n)) and (k := bisect.bisect_right(places, above)) < len(places)]
+        return min(found, default=0)
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Any input gives one: unmatched end tags are dropped, open elements end with the page."""
     root = Node("html")
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     body: Node | None = None
     begun = False
 
-    def close(upto: int) -> None:
-        del stack[upto:]
+    def add(name: str, attrs: str = "") -> Node:
+        node = Node(name, attrs)
+        stack[-1].children.append(node)
+        return node
 
     def in_body() -> None:
         nonlocal body
         if body is None:
-            close(1)
-            body = Node("body")
-            root.children.append(body)
-            stack.append(body)
+            opened.close(1)
+            body = add("body")
+            opened.push(body)
 
     def in_foreign(name: str) -> bool:
         """Whether an element is part of a drawing or formula, where a slash closes it."""
-        if name in FOREIGN:
-            return True
-        inner = next((n.name for n in reversed(stack) if n.name in FOREIGN or n.name == "foreignobject"), "")
-        return inner in FOREIGN
+        return name in FOREIGN or opened.inner(FOREIGN) > opened.inner(("foreignobject",))
 
     def implied_row() -> None:
         """A row for a cell that starts in a table or a section of one, outside any row."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in ("tr", "td", "th"):
-                return
-            if stack[i].name in ("table", "thead", "tbody", "tfoot"):
-                close(i + 1)
-                if len(stack) < MAX_DEPTH:
-                    row = Node("tr")
-                    stack[-1].children.append(row)
-                    stack.append(row)
-                return
+        section = opened.inner(SECTIONS)
+        if section > opened.inner(("tr", "td", "th")):
+            opened.close(section + 1)
+            opened.push(add("tr"))
 
     def text(s: str) -> None:
         if not s:
@@ -107,7 +122,7 @@ def parse(html: str) -> Node:
             if not s.strip():
                 return
             in_body()
-        stack[-1].children.append(unescape(s) if "&" in s else s)
+        stack[-1].children.append(entities(s))
 
     at, end = 0, len(html)
     while at < end:
@@ -122,18 +137,14 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m["close"]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not opened.at.get("p"):
                 in_body()
-                stack[-1].children.append(Node("p"))
+                add("p")
                 continue
-            barrier = {"td", "th", "table"} if name not in TABLE_PARTS and name not in ("td", "th") else {"table"} if name != "table" else set()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    if stack[i] is not body:
-                        close(i)
-                    break
-                if stack[i].name in barrier:
-                    break
+            barrier = ("td", "th", "table") if name not in TABLE_PARTS and name not in ("td", "th") else ("table",) if name != "table" else ()
+            depth = opened.inner((name,))
+            if depth and depth >= opened.inner(barrier) and stack[depth] is not body:
+                opened.close(depth)
             continue
         if name == "html":
             if not begun:
@@ -145,54 +156,35 @@ def parse(html: str) -> Node:
             continue
         if name == "head":
             if body is None and stack[-1] is root:
-                stack.append(Node("head", m["attrs"]))
-                root.children.append(stack[-1])
+                opened.push(add("head", m["attrs"]))
             continue
-        if name not in HEAD_ONLY or body is not None:
-            if stack[-1] is root or stack[-1].name == "head":
-                in_body()
+        if (name not in HEAD_ONLY or body is not None) and (stack[-1] is root or stack[-1].name == "head"):
+            in_body()
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    close(i)
-                    break
-                if stack[i].name in ("td", "th", "table", "li", "button", "caption"):
-                    break
+            depth = opened.inner(("p",))
+            if depth > opened.inner(P_SCOPE):
+                opened.close(depth)
         if name in IMPLIED_END:
             ends, scope = IMPLIED_END[name]
-            first = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in scope:
-                    break
-                if stack[i].name in ends:
-                    first = i
-            if first is not None:
-                close(first)
+            depth = opened.outer(ends, opened.inner(scope))
+            if depth:
+                opened.close(depth)
         if name in ("td", "th"):
             implied_row()
-        node = Node(name, m["attrs"])
-        stack[-1].children.append(node)
+        node = add(name, m["attrs"])
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            stop = _end_of(name).search(html, at)
             upto = stop.start() if stop else end
-            node.children.append(unescape(html[at:upto]) if name == "textarea" else html[at:upto])
+            node.children.append(entities(html[at:upto]) if name == "textarea" else html[at:upto])
             at = html.find(">", upto) + 1 or end if stop else end
-        elif name not in VOID and not (m["attrs"].endswith("/") and in_foreign(name)) and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif name not in VOID and not (m["attrs"].endswith("/") and in_foreign(name)):
+            opened.push(node)
     return root
 
 
-def hidden(node: Node) -> bool:
-    """Visibility: elements never shown, the hidden attribute, and inline display or visibility rules."""
-    if node.name in UNSEEN:
-        return True
-    if "hid" not in node.attrs.lower() and "none" not in node.attrs.lower() and node.name != "dialog":
-        return False
-    attrs = node.attributes()
-    style = SPACE.sub("", attrs.get("style", "")).lower()
-    if node.name == "dialog":
-        return "open" not in attrs
-    return "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or (node.name == "input" and attrs.get("type", "").lower() == "hidden")
+@cache
+def _end_of(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
 
 
 class _Lines:
@@ -236,60 +228,106 @@ class _Lines:
         return self.done
 
 
-def _table(node: Node) -> tuple[list[list[list[str]]], list[str]]:
-    """Rows of cells, each a list of lines, and the caption."""
-    rows: list[list[list[str]]] = []
+def _span(cell: Node, name: str, most: int, none: int) -> int:
+    """A cell's colspan or rowspan, however many digits it has; 0 means ``none``, other values that are no number mean 1."""
+    if name not in cell.attrs.lower():
+        return 1
+    found = re.match(r"\s*\+?0*([0-9]+)", cell.attributes().get(name, ""))
+    if found is None:
+        return 1
+    return (min(int(found[1]), most) if len(found[1]) < 6 else most) or none
+
+
+class _Grid:
+    """Rows of a table as cells by column; a cell of several rows keeps its columns taken in the rows below."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict[int, list[str]]] = []
+        self.taken: dict[int, int] = {}
+
+    def section(self) -> None:
+        """Cells do not reach into the next section."""
+        self.taken = {}
+
+    def row(self, cells: list[Node]) -> None:
+        out, below, column = {}, {}, 0
+        for cell in cells:
+            while column in self.taken:
+                column += 1
+            wide, tall = _span(cell, "colspan", COLSPAN, 1), _span(cell, "rowspan", ROWSPAN, ROWSPAN)
+            out[column] = _flow(cell)
+            if tall > 1:
+                below.update(dict.fromkeys(range(column, column + wide), tall))
+            column += wide
+        self.taken = {c: n - 1 for c, n in {**self.taken, **below}.items() if n > 1}
+        if out:
+            self.rows.append(out)
+
+
+def _table(node: Node) -> tuple[list[dict[int, list[str]]], list[str]]:
+    """Rows of cells by column, each a list of lines, and the caption."""
+    grid = _Grid()
     caption: list[str] = []
     loose: list = []
 
-    def cells(row: Node) -> None:
-        out: list[list[str]] = []
-        for x in row.children:
-            if isinstance(x, Node) and x.name in ("td", "th"):
-                if not hidden(x):
-                    span = re.sub(r"\D", "", x.attributes().get("colspan", "1") if "colspan" in x.attrs.lower() else "1")
-                    out += [_flow(x), *[[]] * (min(int(span or 1), 1000) - 1)]
-            elif isinstance(x, Node) or x.strip():
-                loose.append(x)
-        rows.append(out)
+    def row(found: Node) -> None:
+        grid.row([x for x in found.children if isinstance(x, Node) and x.name in ("td", "th") and not x.gone])
+        loose.extend(x for x in found.children if (x.name not in ("td", "th") if isinstance(x, Node) else x.strip() and not found.veiled))
 
     for part in node.children:
-        if not isinstance(part, Node):
-            if part.strip():
+        if isinstance(part, str):
+            if part.strip() and not node.veiled:
                 loose.append(part)
-        elif hidden(part):
+        elif part.gone:
             continue
         elif part.name == "caption":
             caption += _flow(part)
         elif part.name == "tr":
-            cells(part)
+            row(part)
         elif part.name in ("thead", "tbody", "tfoot"):
-            for row in part.children:
-                if isinstance(row, Node) and row.name == "tr":
-                    if not hidden(row):
-                        cells(row)
-                elif isinstance(row, Node) or row.strip():
-                    loose.append(row)
+            grid.section()
+            for inner in part.children:
+                if isinstance(inner, Node) and inner.name == "tr":
+                    if not inner.gone:
+                        row(inner)
+                elif isinstance(inner, Node) or (inner.strip() and not part.veiled):
+                    loose.append(inner)
+            grid.section()
         else:
             loose.append(part)
     if loose:
         holder = Node("div")
         holder.children = loose
         caption = _flow(holder) + caption
-    return [r for r in rows if r], caption
+    return grid.rows, caption
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Cells padded to the width of their column, columns two spaces apart."""
-    width = [0] * max((len(r) for r in rows), default=0)
+def _aligned(rows: list[dict[int, list[str]]]) -> list[str]:
+    """Cells padded to the width of their column, however wide, columns two spaces apart."""
+    width: dict[int, int] = {}
     for r in rows:
-        for i, cell in enumerate(r[:-1]):
-            width[i] = max(width[i], *(len(x) for x in cell), 0)
-    width = [min(w, 200) for w in width]
+        last = max(r)
+        for i, cell in r.items():
+            if i != last:
+                width[i] = max(width.get(i, 0), *(len(x) for x in cell), 0)
+    start, places = 0, []
+    for i in range(max((max(r) for r in rows), default=-1) + 1):
+        places.append(start)
+        start += width.get(i, 0) + 2
+    aligned = sum(places[max(r)] for r in rows) <= PADDING + 16 * sum(len(x) for r in rows for cell in r.values() for x in cell)
     out = []
     for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip())
+        for k in range(max(len(c) for c in r.values())):
+            line, upto = [], 0
+            for i, cell in r.items():
+                if k < len(cell) and cell[k]:
+                    if aligned:
+                        line.append(" " * (places[i] - upto))
+                        upto = places[i] + len(cell[k])
+                    elif line:
+                        line.append("  ")
+                    line.append(cell[k])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -297,8 +335,9 @@ def _foreign(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
     """Text of a drawing or formula, inline; labels and cells stand apart."""
     for child in node.children:
         if isinstance(child, str):
-            lines.put(child)
-        elif child.name not in UNSHOWN and not hidden(child) and child.attributes().get("display", "").strip() != "none":
+            if not node.veiled:
+                lines.put(child)
+        elif child.name not in UNSHOWN and not child.gone and not ("display" in child.attrs and child.attributes().get("display", "").strip() == "none"):
             if child.name in APART:
                 lines.put(" ")
             if child.name == "foreignobject":
@@ -313,11 +352,11 @@ def _options(node: Node, all_of_them: bool) -> list[Node]:
     """Options of a list box, all of them; of a closed list, which shows one value, the last that the markup selects."""
     found: list[Node] = []
     for child in node.children:
-        if isinstance(child, Node) and not hidden(child):
+        if isinstance(child, Node) and not child.gone:
             if child.name == "option":
                 found.append(child)
             elif child.name == "optgroup" and all_of_them:
-                head = Node("optgroup")
+                head = Node("optgroup", veiled=child.veiled)
                 head.children = [child.attributes().get("label", "")]
                 found += [head, *_options(child, True)]
             else:
@@ -334,6 +373,8 @@ def _flow(node: Node) -> list[str]:
 def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
+            if node.veiled:
+                continue
             if pre:
                 if child:
                     lines.open()
@@ -342,7 +383,7 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
                 lines.put(child)
             continue
         name = child.name
-        if hidden(child):
+        if child.gone:
             continue
         if name == "br":
             lines.open()
@@ -357,12 +398,12 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
             continue
         elif name == "input":
             attrs = child.attributes()
-            if attrs.get("type", "text").lower() in ("button", "submit", "reset", "text", "email", "search", "url", "tel", "number"):
+            if not child.veiled and attrs.get("type", "text").lower() in ("button", "submit", "reset", "text", "email", "search", "url", "tel", "number"):
                 lines.put(attrs.get("value", ""))
         elif name in FOREIGN:
             _foreign(child, lines, depth, pre)
         elif name == "textarea":
-            held = Node("span")
+            held = Node("span", veiled=child.veiled)
             held.children = [x[1:] if x.startswith("\n") else x for x in (c.replace("\r\n", "\n") for c in child.children if isinstance(c, str))]
             _render(held, lines, depth, True)
         elif name == "select":
@@ -381,9 +422,10 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
                 number = int(start[1]) if start else 1
             for item in child.children:
                 if isinstance(item, str):
-                    lines.put(item)
+                    if not child.veiled:
+                        lines.put(item)
                     continue
-                if hidden(item):
+                if item.gone:
                     continue
                 holder = _Lines()
                 if item.name == "li":
@@ -394,7 +436,7 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
                     lines.block(holder.result(), mark, " " * len(mark))
                     lines.end(1)
                 else:
-                    outer = Node("div")
+                    outer = Node("div", veiled=child.veiled)
                     outer.children = [item]
                     _render(outer, holder, depth + 1, pre)
                     lines.end(1)
@@ -422,8 +464,20 @@ def _render(node: Node, lines: _Lines, depth: int, pre: bool) -> None:
 
 
 def visible(tree: Node) -> str:
-    """All visible text of a parsed page."""
-    lines = _flow(tree)
+    """All visible text of a parsed page, however deep its elements nest."""
+    deep, todo = 0, [(tree, 1)]
+    styled = False
+    while todo:
+        node, depth = todo.pop()
+        deep, styled = max(deep, depth), styled or node.name == "style"
+        todo += [(c, depth + 1) for c in node.children if isinstance(c, Node)]
+    mark(tree, styled)
+    before = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(max(before, 1000 + 6 * deep))  # frames of Python functions are on the heap
+        lines = _flow(tree)
+    finally:
+        sys.setrecursionlimit(before)
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
