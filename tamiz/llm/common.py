@@ -121,6 +121,23 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Keys that hold more than one row in so many are joined by a broadcast: there cannot be more of them than this.
+HOT_KEYS = 1000
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Left join of ``rows`` (written, keys not null) with ``table``, which has one row per key, without gathering a key's rows.
+
+    ``weight`` is the number of rows of a key. The rows of the few keys that hold more than a
+    ``HOT_KEYS``-th of all stay where they are, as those keys are broadcast; the others are shuffled.
+    """
+    least = rows.count() / HOT_KEYS
+    hot = F.broadcast(table.where(F.col(weight) > least))
+    near = rows.join(hot, keys)
+    far = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(weight) <= least), keys, "left")
+    return near.unionByName(far)
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank", also: DataFrame | None = None) -> DataFrame:
     """Add ``name``: a gapless rank from 0 within ``keys`` (not null), without gathering a key.
 

@@ -15,15 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import id_in, id_out, materialise, sized
+from tamiz.llm.common import id_in, id_out, keyed_join, materialise, sized
 from tamiz.llm.components import components
 
 EDITS = 2
-#: Shorter lines (in characters) are only matched exactly: an edit changes too much of them.
-SHORTEST = 20
+#: Shorter lines (in characters) are only matched exactly: their segments are so short that a probe could leave the line.
+SHORTEST = (EDITS + 1) ** 2
 #: Lines of a meeting that one task compares; crowded meetings are cut into blocks of this size.
 BLOCK = 128
-#: Room in a tag for twice the segments; ids of up to 2^27 partitions still fit.
+#: Room in a tag for twice the segments; generated ids of up to 2^24 partitions still fit.
 TAGS = 64
 _WORD = (1 << 64) - 1
 
@@ -202,7 +202,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("row_id", "doc_id", "text_hash", F.explode_outer("lines").alias("l")).select("row_id", "doc_id", "text_hash", "l.line_no", "l.line")
 
 
-def mark_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def mark_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, classes: bool = False) -> DataFrame:
     """doc_id, n_lines, n_kept, n_links, dropped (line numbers from 0), text_hash: one row per row of ``docs``.
 
     Lines are compared without white space at their ends; blank ones are neither counted
@@ -210,6 +210,9 @@ def mark_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     ``edits`` edits of each other are linked, and of all lines that links connect the first
     one (least doc_id, null ids first, then least line number) stays. n_links sums, over a document's
     lines, the different lines linked to them. Null and empty texts have no lines.
+
+    ``classes`` adds ``line_classes``: for each line that is not the only one of its class, its number (line), the doc_id
+    and number of the line that stays for the class (class_doc_id, class_line) and the different lines linked to it (links).
     """
     occurrences = materialise(_lines(docs).select("row_id", "doc_id", "text_hash", "line_no", F.unhex(F.md5("line")).alias("digest")), "occurrences")
     distinct = _lines(docs).where("line is not null").select("line").distinct()
@@ -218,15 +221,25 @@ def mark_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     label = components(links.where("kind = 1").select(F.col("x").alias("u"), F.col("y").alias("v")))
     count = links.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("links"))
     linked = materialise(lines.select("id", "digest").join(label.select(F.col("node").alias("id"), "label"), "id").join(count, "id").select("digest", "label", "links"), "linked")
-    first = occurrences.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row_id", "line_no")).alias("first"))
-    earliest = first.join(linked, "digest").groupBy("label").agg(F.min("first").alias("earliest"))
-    table = first.join(linked.join(earliest, "label"), "digest", "left").select("digest", F.coalesce("earliest", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
-    marked = occurrences.join(table, "digest", "left").withColumn("stays", (F.col("row_id") == F.col("first.row_id")) & (F.col("line_no") == F.col("first.line_no")))
+    own = occurrences.where("digest is not null")
+    first = own.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Lines that are alike to no other are their own class; only the others are joined.
+    shared = first.join(linked, "digest", "left").where("n > 1 or label is not null")
+    earliest = shared.where("label is not null").groupBy("label").agg(F.min("first").alias("earliest"))
+    table = materialise(shared.join(earliest, "label", "left").select("digest", "n", F.coalesce("earliest", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
+    none = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("n", "first", "links")]
+    marked = keyed_join(own, table, ["digest"], "n").unionByName(occurrences.where("digest is null").select("*", *none))
     has = F.col("line_no").isNotNull()
-    out = marked.groupBy("row_id", "doc_id", "text_hash").agg(
-        F.count(F.when(has, 1)).alias("n_lines"), F.count(F.when(has & F.col("stays"), 1)).alias("n_kept"), F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"), F.sort_array(F.collect_list(F.when(has & ~F.col("stays"), F.col("line_no")))).alias("dropped")
+    stays = F.col("n").isNull() | ((F.col("row_id") == F.col("first.row_id")) & (F.col("line_no") == F.col("first.line_no")))
+    gone = F.sort_array(F.collect_list(F.when(has & ~F.col("stays"), F.col("line_no"))))
+    out = marked.withColumn("stays", stays).groupBy("row_id", "doc_id", "text_hash").agg(
+        F.count(F.when(has, 1)).alias("n_lines"),
+        F.count(F.when(has & F.col("stays"), 1)).alias("n_kept"),
+        F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"),
+        gone.alias("dropped"),
+        *([F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct(F.col("line_no").alias("line"), id_out(F.col("first.doc_id")).alias("class_doc_id"), F.col("first.line_no").alias("class_line"), "links")))).alias("line_classes")] if classes else []),
     )
-    return out.select(id_out(F.col("doc_id")).alias("doc_id"), "n_lines", "n_kept", "n_links", "dropped", "text_hash")
+    return out.select(id_out(F.col("doc_id")).alias("doc_id"), "n_lines", "n_kept", "n_links", "dropped", *(["line_classes"] if classes else []), "text_hash")
 
 
 def drop_lines(docs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.mark_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return line_dedup.mark_lines(_table(spark, sf_dir, "documents"), classes=True).drop("text_hash")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import defaultdict
 
 import pytest
 
-from tamiz.llm import line_dedup, near_dups
+from tamiz.llm import common, line_dedup, near_dups
 from tamiz.llm.components import components
 
 
@@ -168,6 +169,42 @@ def test_line_dedup(docs, odd_rows, block, monkeypatch):
     assert sum(r["n_kept"] for r in got) == len(first)
 
 
+def test_line_classes(docs):
+    """Every line of a class that has others names the line that stays for it; lines from nine characters are linked."""
+    rng = random.Random(17)
+    bases = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (9, 10, 12, 19, 30)]
+    rows = [(i, "\n".join([changed(rng, rng.choice(bases), rng.randrange(3)) for _ in range(4)] + [f"own line of number {i * 7919}", "eight8ch"[: rng.randint(7, 8)]])) for i in range(25)]
+    got = {r["doc_id"]: r for r in line_dedup.mark_lines(docs(rows), classes=True).collect()}
+    found, label, pairs = brute_lines(rows)
+    assert any(9 <= len(a) < 20 for a, _ in pairs)
+    links, first, size = defaultdict(int), {}, defaultdict(int)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for f in sorted(found):
+        first.setdefault(label[f[4]], f)
+        size[label[f[4]]] += 1
+    for i, r in got.items():
+        own = [f for f in found if f[1] == i and size[label[f[4]]] > 1]
+        assert [tuple(x) for x in r["line_classes"]] == [(f[3], first[label[f[4]]][1], first[label[f[4]]][3], links[f[4]]) for f in own]
+
+
+def test_a_line_that_most_documents_share(docs, monkeypatch):
+    """Rows of a hot line are not gathered, and get the same marks."""
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = [(i, f"the line that all documents share\n{hashlib.md5(b'%d' % i).hexdigest()} alone here\nnumber {i % 3} of three") for i in range(60)]
+    got = line_dedup.mark_lines(docs(rows)).collect()
+    assert sum(r["n_kept"] for r in got) == 1 + 60 + 1 and {len(r["dropped"]) for r in got if r["doc_id"]} == {2}
+
+
+def test_very_long_lines(docs):
+    """Lines of a hundred thousand characters are linked as others are."""
+    rng = random.Random(18)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(100_000)).strip()
+    got = {r["doc_id"]: (r["n_links"], r["dropped"]) for r in line_dedup.mark_lines(docs([(1, long), (2, long[:50_000] + "X" + long[50_000:]), (3, long[:70_000] + "YYY" + long[70_000:]), (4, long)])).collect()}
+    assert got == {1: (1, []), 2: (1, [0]), 3: (0, []), 4: (1, [0])}
+
+
 def test_drop_lines(docs):
     frame = docs([(1, "one line that is long enough\nb\n\nx"), (2, "b\none line that is long enough!\nnew"), (3, None)])
     marked = line_dedup.mark_lines(frame)
