@@ -9,14 +9,14 @@ exact rows, where the texts themselves are compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import materialise, sized
+from tamiz.llm.common import keyed_join, materialise, sized
 
 #: Digests that share one filter; bounds the work of a task whatever the snapshot's size.
 KEYS_PER_FILTER = 4096
@@ -107,13 +107,28 @@ def _bucket(digest: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.hex(F.substring(digest, 9, 4)), 16, 10).cast("long"), F.lit(buckets))
 
 
+class Snapshot(NamedTuple):
+    """An immutable set of texts: exact rows (digest, n, keep), one filter per bucket, and the number of buckets."""
+
+    exact: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def digests(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text_hash (of the text as it is), digest (of the normalised text), row_id of every row; written once."""
+    text = docs["text"].cast("string")
+    digest = F.unhex(F.sha2(normalised(text), 256))
+    return materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), digest.alias("digest"), F.monotonically_increasing_id().alias("row_id"), *more), "digests")
+
+
 def grouped(rows: DataFrame) -> DataFrame:
-    """One row per digest: n, and keep = the largest (doc_id, row_id). Partial sums absorb hot groups."""
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
+    """One row per digest: n, and keep = the largest (doc_id, row_id, text_hash). Partial sums absorb hot groups."""
+    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row_id", "text_hash")).alias("keep"))
 
 
-def build_snapshot(rows: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> tuple[DataFrame, DataFrame, int]:
-    """The exact rows and the filters of an immutable snapshot, and its number of buckets."""
+def build_snapshot(rows: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> Snapshot:
+    """The snapshot of ``rows`` (see ``digests``)."""
     exact = materialise(grouped(rows), "exact")
     buckets = max(1, math.ceil(exact.count() / keys_per_filter))
 
@@ -121,7 +136,18 @@ def build_snapshot(rows: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> t
         return pd.DataFrame([(key[0], *build_filter(_keys(pdf["digest"])))], columns=["bucket", "seed", "segment", "segments", "fingerprints"])
 
     filters = exact.select(_bucket(F.col("digest"), buckets).alias("bucket"), "digest").groupBy("bucket").applyInPandas(build, FILTER_SCHEMA)
-    return exact, materialise(filters, "filters"), buckets
+    return Snapshot(exact, materialise(filters, "filters"), buckets)
+
+
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Write a snapshot for later batches; an existing one is never overwritten."""
+    snapshot.exact.write.parquet(f"{path}/exact")
+    snapshot.filters.write.parquet(f"{path}/filters")
+    snapshot.exact.sparkSession.range(1).select(F.lit(snapshot.buckets).cast("long").alias("buckets")).write.parquet(f"{path}/layout")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    return Snapshot(spark.read.parquet(f"{path}/exact"), spark.read.parquet(f"{path}/filters"), spark.read.parquet(f"{path}/layout").first()["buckets"])
 
 
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
@@ -138,13 +164,29 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, rows: int, name: str) -> DataFrame:
-    """digest and text of the rows in ``wanted`` (doc_id, digest): the one place where texts move."""
-    small = sized(wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), rows)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("raw"))
+    """digest and text of the rows in ``wanted`` (digest, and the doc_id and text_hash of one row): the one place where texts move.
+
+    Rows are found by id and hash together, so rows that share a null or repeated id do not meet each other's digests.
+    """
+    small = sized(wanted.select("digest", F.struct("at.doc_id", "at.text_hash").alias("_at")), rows)
+    raw = docs["text"].cast("string")
+    own = docs.select(F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash")).alias("_own"), raw.alias("raw"))
     text = normalised(F.col("raw"))
-    own_text = F.when(F.unhex(F.sha2(text, 256)) == F.col("_digest"), text)  # a filter here would become a join key, worked out for every row
-    found = own.join(small, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_digest", own_text.alias("text"))
-    return found.groupBy(F.col("_digest").alias("digest")).agg(F.min("text").alias(name), F.max("text").alias(f"{name}_other"))
+    own_text = F.when(F.unhex(F.sha2(text, 256)) == F.col("digest"), text)  # a filter here would become a join key, worked out for every row
+    found = own.join(small, F.col("_own").eqNullSafe(F.col("_at"))).select("digest", own_text.alias("text"))
+    return found.groupBy("digest").agg(F.min("text").alias(name), F.max("text").alias(f"{name}_other"))
+
+
+def confirmed(incoming: DataFrame, snapshot: Snapshot, docs: DataFrame, snapshot_docs: DataFrame) -> DataFrame:
+    """digest, n, keep, new_n, new_keep of the digests of ``incoming`` (see ``grouped``) whose text is in the snapshot byte by byte."""
+    positive = screen(incoming, snapshot.filters, snapshot.buckets)
+    new = incoming.select("digest", F.col("n").alias("new_n"), F.col("keep").alias("new_keep"))
+    met = materialise(positive.join(snapshot.exact, "digest").join(new, "digest"), "met")
+    n = met.count()
+    old_text = _texts(snapshot_docs, met.select("digest", F.col("keep").alias("at")), n, "old_text")
+    new_text = _texts(docs, met.select("digest", F.col("new_keep").alias("at")), n, "new_text")
+    same = old_text.join(new_text, "digest").where("old_text = new_text and old_text_other = old_text and new_text_other = new_text").select("digest")
+    return materialise(met.join(same, "digest"), "verified")
 
 
 def mark_duplicates(docs: DataFrame, in_snapshot: Column, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
@@ -155,30 +197,39 @@ def mark_duplicates(docs: DataFrame, in_snapshot: Column, keys_per_filter: int =
     one doc_id exactly one stays (any; they are alike). Null text equals empty text. An
     empty snapshot, batch or table is fine; other columns of ``docs`` are ignored.
     """
-    digest = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(in_snapshot, F.lit(True)).alias("old"), F.monotonically_increasing_id().alias("row_id"))
-    rows = materialise(rows, "digests")
-    exact, filters, buckets = build_snapshot(rows.where("old"), keys_per_filter)
+    rows = digests(docs, F.coalesce(in_snapshot, F.lit(True)).alias("old"))
+    snapshot = build_snapshot(rows.where("old"), keys_per_filter)
     incoming = materialise(grouped(rows.where("not old")), "incoming")
-    positive = screen(incoming, filters, buckets)
-    new = incoming.select("digest", F.col("n").alias("new_n"), F.col("keep").alias("new_keep"))
-    met = materialise(positive.join(exact, "digest").join(new, "digest"), "met")
-    n = met.count()
-    old_text = _texts(docs, met.select("digest", "keep.doc_id"), n, "old_text")
-    new_text = _texts(docs, met.select("digest", "new_keep.doc_id"), n, "new_text")
-    same = old_text.join(new_text, "digest").where("old_text = new_text and old_text_other = old_text and new_text_other = new_text").select("digest")
-    verified = materialise(met.join(same, "digest"), "verified")
-    both = F.greatest("keep", "other_keep")
+    verified = confirmed(incoming, snapshot, docs, docs)
     sides = []
-    for frame, old, other in ((exact, True, "new_"), (incoming, False, "")):
+    for frame, old, other in ((snapshot.exact, True, "new_"), (incoming, False, "")):
         more = verified.select("digest", F.col(f"{other}n").alias("other_n"), F.col(f"{other}keep").alias("other_keep"))
-        sides.append(frame.join(more, "digest", "left").select("digest", F.lit(old).alias("old"), (F.col("n") + F.coalesce("other_n", F.lit(0))).alias("group_size"), both.alias("keep")))
+        both = F.greatest(F.struct("keep.doc_id", "keep.row_id"), F.struct("other_keep.doc_id", "other_keep.row_id"))
+        keep = F.when(F.col("other_keep").isNull(), F.struct("keep.doc_id", "keep.row_id")).otherwise(both)
+        sides.append(frame.join(more, "digest", "left").select("digest", F.lit(old).alias("old"), "n", (F.col("n") + F.coalesce("other_n", F.lit(0))).alias("group_size"), keep.alias("keep")))
     groups = sides[0].unionByName(sides[1])
-    return rows.join(groups, ["digest", "old"]).select(
+    return keyed_join(rows, materialise(groups, "groups"), ["digest", "old"], "n").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
+def mark_batch(batch: DataFrame, snapshot: Snapshot, snapshot_docs: DataFrame) -> DataFrame:
+    """One row per row of a later ``batch``: doc_id, known, keep_id, group_size, kept, text_sha256.
+
+    ``known`` texts are in the snapshot (of ``snapshot_docs``), which keeps its row: none of the batch stays.
+    Of others the row of the batch with the largest doc_id stays. Null text equals empty text.
+    """
+    rows = digests(batch)
+    incoming = materialise(grouped(rows), "incoming")
+    verified = confirmed(incoming, snapshot, batch, snapshot_docs).select("digest", F.col("n").alias("old_n"), F.col("keep").alias("old_keep"))
+    groups = materialise(incoming.join(verified, "digest", "left"), "groups")
+    known = F.col("old_keep").isNotNull()
+    return keyed_join(rows, groups, ["digest"], "n").select(
+        "doc_id", known.alias("known"), F.when(known, F.col("old_keep.doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).cast("long").alias("group_size"),
+        (~known & (F.col("row_id") == F.col("keep.row_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
 def half_by_id(docs: DataFrame) -> Column:
     """The split of a single table that the query uses: half the ids, by checksum, form the snapshot."""
     return F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0

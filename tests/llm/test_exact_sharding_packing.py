@@ -189,3 +189,31 @@ def test_word_ids_of_every_code_point_below_u3000():
     texts = [f"{a}{chr(c)}{b}" for c in range(0x3000) for a, b in (("a", "b"), (" don't", ".")) if not 0xD800 <= c < 0xE000]
     expected = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert words.encode(texts) == expected
+
+
+def test_a_kept_snapshot_screens_later_batches(docs, spark, tmp_path):
+    old = [(i, f"text {i}") for i in range(50)] + [(60, None), (61, "Text 7")]
+    first = docs(old)
+    snapshot = exact_dedup.build_snapshot(exact_dedup.digests(first), keys_per_filter=8)
+    exact_dedup.save_snapshot(snapshot, str(tmp_path / "snapshot"))
+    held = exact_dedup.load_snapshot(spark, str(tmp_path / "snapshot"))
+    batch = docs([(100, "TEXT 7"), (101, "new"), (102, "NEW"), (103, ""), (None, "new"), (104, "other")])
+    got = {r["doc_id"]: tuple(r)[1:5] for r in exact_dedup.mark_batch(batch, held, first).collect()}
+    assert got == {100: (True, 61, 3, False), 101: (False, 102, 3, False), 102: (False, 102, 3, True), 103: (True, 60, 2, False), None: (False, 102, 3, False), 104: (False, 104, 1, True)}
+    with pytest.raises(Exception, match="(?i)exists"):
+        exact_dedup.save_snapshot(snapshot, str(tmp_path / "snapshot"))
+    assert exact_dedup.mark_batch(docs([]), held, first).count() == 0
+    empty = exact_dedup.build_snapshot(exact_dedup.digests(docs([])))
+    assert {r["known"] for r in exact_dedup.mark_batch(batch, empty, docs([])).collect()} == {False}
+
+
+def test_rows_of_one_id_do_not_meet_each_others_digests(docs, monkeypatch):
+    """Many rows without an id: each text is looked up by its own hash."""
+    rows = [(None, f"text {i % 40}") for i in range(400)] + [(i, f"text {i}") for i in range(40)]
+    frame = docs(rows)
+    met = []
+    plain = exact_dedup._texts
+    monkeypatch.setattr(exact_dedup, "_texts", lambda *a: met.append(plain(*a)) or met[-1])
+    got = exact_dedup.mark_duplicates(frame, F.col("doc_id").isNull()).collect()
+    assert all(r["group_size"] == 11 and r["keep_id"] == int(r["doc_id"] if r["doc_id"] is not None else r["keep_id"]) for r in got) and sum(r["kept"] for r in got) == 40
+    assert [m.count() for m in met] == [40, 40]
