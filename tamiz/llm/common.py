@@ -42,6 +42,13 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 DURING_WRITES = {CLEANUP: "true", BATCH: "16m"}
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other table has; ``release`` deletes what is written there."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables().append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -50,7 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     that the write needed are deleted as it ends, as nothing reads them again, and
     Python workers get batches of bounded size.
     """
-    spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_table(df.sparkSession, name)
     before = {k: spark.conf.get(k) for k in DURING_WRITES}
     for k, v in DURING_WRITES.items():
         spark.conf.set(k, v)
@@ -59,7 +66,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    _tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,7 +100,7 @@ def release(spark: SparkSession, keep: int = 0, since: int = 0, read_by: DataFra
     jvm, conf, mine = spark._jvm, spark._jsc.hadoopConfiguration(), _tables()
     gone = mine[since : max(since, len(mine) - keep)]
     if read_by is not None:
-        read = {unquote(f).rpartition("/")[0].rpartition("/")[2] for f in read_by.inputFiles()}
+        read = {part for f in read_by.inputFiles() for part in unquote(f).split("/")}
         gone = [path for path in gone if path.rpartition("/")[2] not in read]
     for path in gone:
         mine.remove(path)

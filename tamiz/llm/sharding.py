@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import materialise
+from tamiz.llm.common import keyed_join, materialise, new_table
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 40
@@ -22,11 +22,21 @@ def record_sizes(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot of every row; the text is read once and dropped.
 
     Null text: no bytes, checksum 0. The slot hashes doc_id with the checksum, so rows
-    that share a null or repeated doc_id still spread unless their texts are equal too.
+    that share a null or repeated doc_id still spread. Rows that repeat both are told apart by
+    a row number, so that they spread too.
     """
-    raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"))
-    return narrow.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    raw = F.coalesce(F.encode(docs["text"].cast("string"), "UTF-8"), F.lit(b""))
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("row_id"))
+    rows = materialise(narrow, "sizes")
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(slots)).cast("int")
+    own = rows.select("doc_id", "size", "text_crc32", slot("doc_id", "text_crc32").alias("virtual_slot"), "row_id")
+    alike = ["doc_id", "text_crc32", "size"]
+    repeated = materialise(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.xxhash64(*alike).alias("_key"), "_n"), "repeated")
+    if not repeated.isEmpty():
+        once = repeated.groupBy("_key").agg(F.sum("_n").alias("_n"))
+        spread = keyed_join(own.withColumn("_key", F.xxhash64(*alike)), once, ["_key"], "_n")
+        own = spread.withColumn("virtual_slot", F.when(F.col("_n").isNull(), F.col("virtual_slot")).otherwise(slot("doc_id", "text_crc32", "row_id")))
+    return own.select("doc_id", "size", "text_crc32", "virtual_slot")
 
 
 def slot_stats(sizes: DataFrame) -> DataFrame:
@@ -77,18 +87,50 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int, tolerance: flo
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append one version to the map table at ``path``; older versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Store one version of the map in the table at ``path``; older versions stay readable, and a version is never written twice."""
+    row = slot_map.agg(F.min("version").alias("low"), F.max("version").alias("high")).first()
+    if row["low"] is not None:
+        if row["low"] != row["high"]:
+            raise ValueError("one version at a time")
+        slot_map.select("virtual_slot", "shard").write.mode("errorifexists").parquet(f"{path}/version={row['low']}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the stored map, the latest by default."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.option("basePath", path).parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
     return stored.where(F.col("version") == version).select("version", "virtual_slot", "shard")
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a map is stored at ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def current_map(stats: DataFrame, path: str, shards: int, tolerance: float = 0.02) -> DataFrame:
+    """The latest stored map, brought up to date with ``stats``.
+
+    Where none is stored, version 1 is made. A stored one is edited, as a new version, only if a slot in use
+    has no shard or a shard that is gone, or a shard is over its share by more than ``tolerance``.
+    """
+    spark = stats.sparkSession
+    if not stored(spark, path):
+        made = build_map(stats, shards)
+        if made.isEmpty():
+            return made
+        save_map(made, path)
+        return load_map(spark, path)
+    latest = load_map(spark, path)
+    loads = stats.join(latest, "virtual_slot", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+    over = F.col("shard").isNull() | (F.col("shard") >= shards) | (F.col("bytes") > F.sum("bytes").over(Window.partitionBy()) / shards * (1 + tolerance))  # a row per shard
+    if not loads.where("bytes > 0").select(over.alias("over")).where("over").isEmpty() or latest.select("shard").distinct().count() < shards:
+        save_map(rebalance(latest, stats, shards, tolerance), path)
+        latest = load_map(spark, path)
+    return latest
+
+
 def assign(sizes: DataFrame, slot_map: DataFrame, stats: DataFrame) -> DataFrame:
     """Every record with its shard and its gapless place there.
 
@@ -102,14 +144,16 @@ def assign(sizes: DataFrame, slot_map: DataFrame, stats: DataFrame) -> DataFrame
     return ranked.join(F.broadcast(placed.select("virtual_slot", "shard", "start", "version")), "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own")).cast("long").alias("slot"), "virtual_slot", F.col("version").alias("map_version"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, path: str | None = None) -> DataFrame:
     """Shard ``docs`` under the law ``bytes``: shard sizes as equal as whole slots allow.
 
     Columns: doc_id, size, text_crc32, law, shard, slot (place in the shard),
     grown_shard (null under this law), virtual_slot, map_version. Null and empty texts
-    weigh ``OVERHEAD``; an empty table gives no rows; other columns are ignored.
+    weigh ``OVERHEAD``; an empty table gives no rows; other columns are ignored. The slot map
+    is stored at ``path`` (by default a new one in the shared folder) and read from there; one that is
+    there already is edited where it no longer balances.
     """
-    sizes = materialise(record_sizes(docs, slots), "sizes")
+    sizes = materialise(record_sizes(docs, slots), "slotted")
     stats = materialise(slot_stats(sizes), "slots")
-    slot_map = materialise(build_map(stats, shards), "slot-map")
+    slot_map = current_map(stats, path or new_table(docs.sparkSession, "slot-map"), shards)
     return assign(sizes, slot_map, stats).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

@@ -217,3 +217,34 @@ def test_rows_of_one_id_do_not_meet_each_others_digests(docs, monkeypatch):
     got = exact_dedup.mark_duplicates(frame, F.col("doc_id").isNull()).collect()
     assert all(r["group_size"] == 11 and r["keep_id"] == int(r["doc_id"] if r["doc_id"] is not None else r["keep_id"]) for r in got) and sum(r["kept"] for r in got) == 40
     assert [m.count() for m in met] == [40, 40]
+
+
+def test_repeated_rows_spread_over_slots(docs):
+    rows = [(None, None)] * 300 + [(7, "same")] * 200 + [(i, "x" * (i % 50)) for i in range(1000, 1100)]
+    got = sharding.shard_documents(docs(rows), shards=4, slots=64).collect()
+    assert len(got) == 600 and len({r["virtual_slot"] for r in got if r["doc_id"] is None}) > 30
+    loads = [sum(r["size"] for r in got if r["shard"] == k) for k in range(4)]
+    assert max(loads) - min(loads) <= 200
+    for k in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
+def test_the_stored_map_is_edited_only_where_it_must(docs, spark, tmp_path):
+    path, rows = str(tmp_path / "map"), [(i, "x" * (i * 37 % 900)) for i in range(2000)]
+    at = lambda rows, shards=4: {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard_documents(docs(rows), shards, 128, path).collect()}
+    first, again = at(rows), at(rows)
+    assert first == again and {v for _, v in first.values()} == {1}
+    grown = at(rows, 5)
+    moved = [i for i, (shard, _) in grown.items() if shard != first[i][0]]
+    assert {v for _, v in grown.values()} == {2} and {grown[i][0] for i in moved} == {4} and len(moved) < 700
+    more = at(rows + [(i, "y" * 4000) for i in range(5000, 5040)], 5)
+    assert {v for _, v in more.values()} <= {2, 3} and len(more) == 2040
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.save_map(sharding.load_map(spark, path, 1), path)
+
+
+def test_rebalancing_nothing(docs, spark, tmp_path):
+    stats = sharding.slot_stats(sharding.record_sizes(docs([]), 16))
+    assert sharding.current_map(stats, str(tmp_path / "none"), 4).count() == 0
+    one = spark.createDataFrame([(1, 3, 0)], "version int, virtual_slot int, shard int")
+    assert sharding.rebalance(one, stats, 4).count() == 0

@@ -191,7 +191,7 @@ def test_runs_release_their_own_tables_only(spark, tmp_path):
     root = common.scratch_dir(spark).removeprefix("file://")
     before = set(os.listdir(root))
     found = queries.QUERIES["op4_sharding"](spark, str(tmp_path))
-    assert found.count() == 40 and {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == {"sizes", "slots", "slot-map"}
+    assert found.count() == 40 and {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == {"slotted", "slots", "slot-map"}
     found = queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path))
     assert found.count() == 40
 
