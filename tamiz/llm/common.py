@@ -127,6 +127,18 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def ordered_rank(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
+    """Add ``name``: the place of every row in ``order`` (a total one) from 0, without a task that holds all rows.
+
+    Rows are dealt by ranges, written, ranked within their range, and shifted by the sizes of the ranges before.
+    """
+    dealt = materialise(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1)
+    return inner.join(F.broadcast(shift), "_range").withColumn(name, (F.col("_in") + F.col("_shift")).cast("long")).drop("_range", "_in", "_shift")
+
+
 #: Keys that hold more than one row in so many are joined by a broadcast: there cannot be more of them than this.
 HOT_KEYS = 1000
 

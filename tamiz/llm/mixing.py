@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import materialise, salted_rank
+from tamiz.llm.common import materialise, ordered_rank, salted_rank
 
 MOST_COPIES = 3
 SALTS = 64
-ITERATIONS = 40
+#: Newton steps and bisections; a bracket closes long before. A run that needs more is an error.
+ITERATIONS = 400
 TOLERANCE = 1e-9
 #: Words: maximal runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +50,7 @@ def source_targets(counts: DataFrame, weight: Callable[[Column], Column] = weigh
     shared by the others, round by round. Only the sums of a round reach the driver.
     """
     by_source = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("documents"))
-    ranked = by_source.withColumn("weight", weight(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1))
+    ranked = ordered_rank(by_source, F.col("source").asc_nulls_last()).withColumn("weight", weight(F.col("rank")))
     sources = materialise(ranked.select("key", "source_size", "smallest", "documents", "weight"), "sources")
     cap = F.col("source_size") * most
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -70,7 +71,8 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES, iterat
     """key, mean, tilt of every source that has words: safeguarded Newton steps on the dual, all sources at once.
 
     A step that leaves the bracket of its source is replaced by a bisection. Ends when each
-    source is within ``tolerance`` of its target, or its bracket has closed.
+    source is within ``tolerance`` of its target, or its bracket has closed to neighbouring numbers;
+    if neither happens in ``iterations`` steps, an error is raised.
     """
     size = F.col("source_size").cast("double")
     log_share = F.log(F.col("target") / size)
@@ -93,11 +95,13 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES, iterat
         step = F.col("tilt") - miss / F.col("slope")
         middle = (F.col("low") + F.col("high")) / 2
         inside = (F.coalesce(F.col("slope"), F.lit(0.0)) > 0) & (step > F.col("low")) & (step < F.col("high"))
-        done = F.col("done") | (F.abs(miss) <= tolerance * F.col("target")) | (F.col("high") - F.col("low") <= 1e-15 * F.abs(F.col("tilt")))
+        done = F.col("done") | (F.abs(miss) <= tolerance * F.col("target")) | (F.col("high") - F.col("low") <= 4e-16 * F.greatest(F.abs("low"), F.abs("high")))
         moved = near.withColumn("done", done).withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, step).otherwise(middle))
         state = materialise(moved.select("key", "target", "mean", "low", "high", "tilt", "done"), "tilts")
         if state.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"after {iterations} iterations {state.where('not done').count()} sources are not within {tolerance} of their targets")
     return state.select("key", "mean", "tilt")
 
 

@@ -204,3 +204,20 @@ def test_a_cluster_needs_a_shared_folder(master):
     with pytest.raises(ValueError, match="share"):
         common.shared_folder(None, master)
     assert common.shared_folder(None, "local[4]").startswith("file://")
+
+
+def test_newton_steps_end_or_tell(docs):
+    counts = mixing.sized_documents(docs([(i, "w " * (i % 9 + 1), "en", f"s{i % 4}") for i in range(200)])).groupBy("key", "source", "size").count().withColumnRenamed("count", "n").cache()
+    goal = mixing.source_targets(counts)
+    assert mixing.solve(counts, goal).count() == 4
+    with pytest.raises(RuntimeError, match="not within"):
+        mixing.solve(counts, goal, iterations=1)
+
+
+def test_many_sources_keep_their_weights(docs):
+    """Sources are ranked by code point, null last, over many ranges."""
+    rows = [(i, "w " * 8, "en", None if i == 7 else f"{'é' if i % 3 else 'z'}{i:04d}") for i in range(700)]
+    counts = mixing.sized_documents(docs(rows)).groupBy("key", "source", "size").count().withColumnRenamed("count", "n")
+    by = {r["key"]: r["target"] for r in mixing.source_targets(counts).collect()}
+    expected = targets(rows)[1]
+    assert {k: pytest.approx(v) for k, v in by.items()} == {("null" if k is None else f"={k}"): v for k, v in expected.items()}
