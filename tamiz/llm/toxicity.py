@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -107,17 +107,34 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     second part is negative on a batch, the step goes up its gradient instead, which
     undoes the overfit. Without confirmed documents every score is the prior.
     """
+    index, ratio = enriched(positive, unlabelled, clipped(prior), dimension)
+    find = places(index)
+    return descend(index, ratio, [find(r) for r in positive], [find(r) for r in unlabelled], prior, epochs, batch, rate, decay, seed)
+
+
+def places(index: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Turns features into their places in ``index`` (ascending); those that take no part are left out."""
+
+    def find(features: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(index, features)
+        at[at == len(index)] = 0
+        return at[index[at] == features] if len(index) else at[:0]
+
+    return find
+
+
+def clipped(prior: float) -> float:
+    return min(max(prior, 1e-3), 0.999)
+
+
+def descend(index: np.ndarray, ratio: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = 7) -> Model:
+    """The descent itself, over rows of places in ``index``."""
     rng = np.random.default_rng(seed)
-    prior = min(max(prior, 1e-3), 0.999)
-    index, ratio = enriched(positive, unlabelled, prior, dimension)
+    prior = clipped(prior)
     n, bias = len(index), float(np.log(prior / (1 - prior)))
     weights = np.zeros(n)
     if not n or not unlabelled:
         return Model(index, weights, bias)
-    place = np.full(dimension, -1)
-    place[index] = np.arange(n)
-    local = lambda rows: [at[at >= 0] for at in (place[r] for r in rows)]
-    positive, unlabelled = local(positive), local(unlabelled)
     m, v, mb, vb, step = np.zeros(n), np.zeros(n), 0.0, 0.0, 0
     n_p = max(8, min(len(positive), batch // 2))
     for _ in range(epochs):
@@ -148,8 +165,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
     """doc_id, text, confirmed of the bounded sample, and the class prior.
 
-    Neither the held-out fold's labels nor its texts are used. The prior is the toxic share of
-    the other labels (a half smoothing count each way).
+    One row per document and part: where rows repeat an id, the one whose text has the least hash. Neither the held-out
+    fold's labels nor its texts are used. The prior is the toxic share of the other labels (a half smoothing count each way).
     """
     learnt = labels.where(~held_out(labels["doc_id"])).where("doc_id is not null and toxic in (0, 1)")
     toxic, known = learnt.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
@@ -158,30 +175,68 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
     other = chosen(docs.where(~held_out(docs["doc_id"])).where("doc_id is not null"), unlabelled).withColumn("confirmed", F.lit(False))
     ids = F.broadcast(materialise(confirmed.unionByName(other), "sample"))  # at most the two bounds together
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return own.join(ids, "doc_id"), (float(toxic) + 0.5) / (known + 1)
+    found = own.join(ids.select("doc_id").distinct(), "doc_id")
+    first = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return first.join(ids, "doc_id").select("doc_id", "text", "confirmed"), (float(toxic) + 0.5) / (known + 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Features are made where the sample's texts are; one task trains on them, and the model comes back."""
-    sample, prior = training_sample(docs, labels)
+def feature_rows(sample: DataFrame) -> DataFrame:
+    """confirmed and features (4 bytes each) of the sample's documents; written, as several passes read them."""
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Features()
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "confirmed": pdf["confirmed"], "features": [make(t).astype("<i4").tobytes() for t in pdf["text"]]})
 
+    return materialise(sample.mapInPandas(features, "doc_id long, confirmed boolean, features binary"), "features")
+
+
+def enriched_features(rows: DataFrame, prior: float, dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
+    """What ``enriched`` gives, over ``feature_rows``: partitions count features and the counts are summed; features that take part reach the driver."""
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p, u = np.zeros(dimension, np.int64), np.zeros(dimension, np.int64)
+        for pdf in frames:
+            for confirmed, found in zip(pdf["confirmed"], pdf["features"], strict=True):
+                (p if confirmed else u)[np.frombuffer(found, "<i4")] += 1  # a document has a feature once
+        at = np.flatnonzero(p + u)
+        for start in range(0, len(at), 65536):
+            some = at[start : start + 65536]
+            yield pd.DataFrame({"feature": some, "p": p[some], "u": u[some]})
+
+    n_p, n_u = rows.agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
+    n_p, n_u = float(max(1, n_p)), float(max(1, n_u))
+    counts = rows.select("confirmed", "features").mapInPandas(counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rate = (F.col("p") + F.col("u")) / (n_p + n_u)
+    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    ratio = ((F.col("p") + 0.5) / (n_p + 1)) / ((F.col("u") + 0.5) / (n_u + 1))
+    chosen = counts.where((F.col("p") >= LEAST_COUNT) & (z >= LEAST_Z) & (ratio * clipped(prior) >= LEAST_SHARE))
+    found = chosen.select("feature", F.log(F.greatest(ratio, F.lit(1.01))).alias("ratio")).orderBy("feature").collect()  # fewer than ``dimension``
+    return np.array([r["feature"] for r in found], np.int64), np.array([r["ratio"] for r in found], np.float64)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Features are made and counted where the sample's texts are. One task trains on the few that take part, and the model comes back."""
+    sample, prior = training_sample(docs, labels)
+    rows = feature_rows(sample)
+    index, ratio = enriched_features(rows, prior)
+
+    def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = places(index)
+        for pdf in frames:
+            yield pdf.assign(features=[find(np.frombuffer(x, "<i4")).astype("<i4").tobytes() for x in pdf["features"]])
+
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "features"])
-        rows = [np.frombuffer(x, "<i4") for x in pdf["features"]]
-        confirmed = pdf["confirmed"].tolist()
-        model = train([r for r, c in zip(rows, confirmed, strict=True) if c], [r for r, c in zip(rows, confirmed, strict=True) if not c], prior)
-        return pd.DataFrame({"index": [model.index.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias]})
-
-    made = sample.mapInPandas(features, "doc_id long, confirmed boolean, features binary")
-    found = made.groupBy().applyInPandas(learn, "index array<long>, weights array<double>, bias double").first()
+        pdf = pdf.sort_values(["confirmed", "doc_id"])
+        part = lambda confirmed: [np.sort(np.frombuffer(x, "<i4")) for x in pdf.loc[pdf["confirmed"] == confirmed, "features"]]
+        model = descend(index, ratio, part(True), part(False), prior)
+        return pd.DataFrame({"weights": [model.weights.tolist()], "bias": [model.bias]})
+
+    short = rows.mapInPandas(shorten, rows.schema)
+    found = short.groupBy().applyInPandas(learn, "weights array<double>, bias double").first()
     if found is None:
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    return Model(np.array(found["index"], np.int64), np.array(found["weights"]), found["bias"])
+        return Model(index, np.zeros(len(index)), float(np.log(clipped(prior) / (1 - clipped(prior)))))
+    return Model(index, np.array(found["weights"], np.float64), found["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
