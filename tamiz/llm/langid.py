@@ -46,6 +46,11 @@ def word_grams(word: str) -> list[int]:
     return [crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % DIMENSION for n in GRAMS for i in range(len(w) - n + 1)]
 
 
+def document_grams(text: str | None) -> np.ndarray:
+    """The n-grams of a text's distinct words."""
+    return np.array([g for w in set(WORD.findall((text or "").lower())) for g in word_grams(w)], np.int64)
+
+
 @dataclass
 class TextModel:
     """Languages in order, the last one UNKNOWN (every n-gram alike), and log probabilities of n-grams."""
@@ -56,12 +61,16 @@ class TextModel:
     @staticmethod
     def fitted(texts: list[str | None], labels: list[str]) -> TextModel:
         names = sorted(set(labels))
-        counts = np.full((DIMENSION, len(names)), GRAM_PRIOR)
+        counts = np.zeros((DIMENSION, len(names)))
         for text, label in zip(texts, labels, strict=True):
-            grams = [g for w in set(WORD.findall((text or "").lower())) for g in word_grams(w)]
-            if grams:
-                counts[:, names.index(label)] += np.bincount(grams, minlength=DIMENSION)
-        logs = np.log(counts / counts.sum(axis=0))
+            counts[:, names.index(label)] += np.bincount(document_grams(text), minlength=DIMENSION)
+        return TextModel.counted(names, counts)
+
+    @staticmethod
+    def counted(names: list[str], counts: np.ndarray) -> TextModel:
+        """From the n-gram counts of languages (a column for each)."""
+        smooth = counts + GRAM_PRIOR
+        logs = np.log(smooth / smooth.sum(axis=0))
         return TextModel([*names, UNKNOWN], np.column_stack([logs, np.full(DIMENSION, -np.log(DIMENSION))]).astype(np.float32))
 
 
@@ -117,21 +126,31 @@ def language_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Text models of all language labels, each from a bounded sample of its documents.
 
-    However rare, every label gets a model. A task counts one language at a time, and a row
-    of ``DIMENSION`` values for each comes back: the model grows with the number of languages only.
+    However rare, every label gets a model. N-grams are counted where the texts are and the counts summed; a task
+    holds the ``DIMENSION`` counts of one language, and they come back: the model grows with the number of languages only.
+    Of rows that repeat an id and a label one takes part, the one whose text has the least hash.
     """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("lang").alias("lang"))
     ids = materialise(language_sample(labelled, sample), "sample")
     ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    rows = labelled.join(ids, ["doc_id", "lang"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = TextModel.fitted(pdf["text"].tolist(), pdf["lang"].tolist())
-        return pd.DataFrame({"lang": [model.languages[0]], "logs": [model.logs[:, 0].tobytes()]})
+    rows = labelled.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
-    found = sorted(rows.groupBy("lang").applyInPandas(count, "lang string, logs binary").collect())
-    logs = [np.frombuffer(r["logs"], np.float32) for r in found]
-    return TextModel([*[r["lang"] for r in found], UNKNOWN], np.column_stack([*logs, np.full(DIMENSION, -np.log(DIMENSION), np.float32)]))
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for lang, texts in pdf.groupby("lang")["text"]:
+                grams, n = np.unique(np.concatenate([document_grams(t) for t in texts]), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+
+    def logs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((DIMENSION, 1))
+        found = pdf[pdf["gram"] >= 0]
+        counts[found["gram"].to_numpy(), 0] = found["n"]
+        return pd.DataFrame({"lang": [key[0]], "logs": [TextModel.counted([key[0]], counts).logs[:, 0].tobytes()]})
+
+    counts = rows.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
+    every = ids.select("lang").distinct().select("lang", F.lit(-1).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"))  # a label whose texts have no letters has a model too
+    found = sorted(counts.unionByName(every).groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(logs, "lang string, logs binary").collect())
+    return TextModel([*[r["lang"] for r in found], UNKNOWN], np.column_stack([*[np.frombuffer(r["logs"], np.float32) for r in found], np.full(DIMENSION, -np.log(DIMENSION), np.float32)]))
 
 
 def host_of(url: Column) -> Column:
