@@ -49,24 +49,28 @@ def new_table(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs one task, not the stages before,
-    and values such as generated row ids no longer change on a retry. Shuffle files
-    that the write needed are deleted as it ends, as nothing reads them again, and
-    Python workers get batches of bounded size.
-    """
-    spark, path = df.sparkSession, new_table(df.sparkSession, name)
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``df`` as Parquet. Shuffle files that this needed are deleted as it ends, as nothing reads them again, and Python workers get batches of bounded size."""
+    spark = df.sparkSession
     before = {k: spark.conf.get(k) for k in DURING_WRITES}
     for k, v in DURING_WRITES.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back.
+
+    This cuts lineage: a lost executor costs one task, not the stages before,
+    and values such as generated row ids no longer change on a retry.
+    """
+    path = new_table(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Tables that the current run wrote, oldest first. A thread has a list of its own, and so has every ``own_tables`` block.

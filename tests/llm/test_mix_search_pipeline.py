@@ -221,3 +221,35 @@ def test_many_sources_keep_their_weights(docs):
     by = {r["key"]: r["target"] for r in mixing.source_targets(counts).collect()}
     expected = targets(rows)[1]
     assert {k: pytest.approx(v) for k, v in by.items()} == {("null" if k is None else f"={k}"): v for k, v in expected.items()}
+
+
+def test_top_k_beyond_exact_doubles(spark):
+    """Components of any finite size: sums beyond 2^53 are exact, those beyond a long are given as its ends."""
+    rows = [(0, [2.0**43, 1.0]), (100, [1.0, 2.0]), (1, [2.0**42, 3.0]), (2, [2.0**42, 2.0]), (3, [-(2.0**44), 0.0]), (4, [0.5, 0.25]), (5, [1e300, 0.0]), (6, [1e301, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    expected = []
+    for q in (0, 100):
+        scored = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)
+        expected += [(q, i, clip(-s)) for s, i in scored]
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(frame.coalesce(1)).orderBy("query_id", "rank").collect()]
+    assert sorted(got) == sorted(expected)
+    assert [r for r in got if abs(r[2]) < 2**63 - 1] == [r for r in expected if abs(r[2]) < 2**63 - 1]
+
+
+def test_two_vectors_of_one_query_id(spark):
+    rows = [(0, [0.1, 0.9]), (0, [0.9, 0.1]), (0, [0.9, 0.1]), *((i, [i / 50, 1 - i / 50]) for i in range(1, 30))]
+    assert sorted(tuple(r) for r in topk.top_k(vectors(spark, rows)).collect()) == sorted(expected_top(rows))
+
+
+def test_terms_are_pruned():
+    """Products that the bounds save, counted; the result is that of all of them."""
+    rng = np.random.default_rng(16)
+    x = np.floor(rng.normal(0, 200, (20_000, 32)) * np.linspace(1, 0.05, 32))
+    work = np.zeros(2, np.int64)
+    q = x[7]
+    ids, scores = topk.maxscore(np.ascontiguousarray(x.T), np.arange(len(x)), q, 7, 10, work=work)
+    all_of_them = x @ q
+    expected = sorted((i for i in range(len(x)) if i != 7), key=lambda i: (-all_of_them[i], i))[:10]
+    assert ids.tolist() == expected and work[0] < 0.9 * work[1]
