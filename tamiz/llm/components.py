@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, as grouped minima and joins.
 
-Nothing is gathered per node: minima are partial sums, and the joins that carry them
-back to the edges can be split where a node has very many.
+Nothing is gathered per node: minima are partial sums, and the join that carries them
+back to the edges leaves those of nodes with very many where they are.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import materialise
+from tamiz.llm.common import keyed_join, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        large = keyed_join(both, materialise(least, "least"), ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "edges")

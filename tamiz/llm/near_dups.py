@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import id_in, id_out, materialise, sized
+from tamiz.llm.common import id_in, id_out, keyed_join, materialise, sized
 from tamiz.llm.components import components
 
 NGRAM = 5
@@ -28,9 +28,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Chance to share a bucket that is tolerated at this low similarity.
 FALSE_AT, FALSE_RATE = 0.3, 0.1
-#: Buckets above this size go by blocks of about so many representatives.
+#: Buckets above this size go by blocks of about so many representatives, and of about so many n-grams.
 SMALL_BUCKET = 16
-BLOCK = 256
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 CACHED_WORDS = 400_000
 CHUNK = 4096
 CELLS = 4_000_000
@@ -202,7 +202,8 @@ def _block_links(members: DataFrame, texts: DataFrame, ngram: int, threshold: fl
     meet blocks of their own and the next size class.
     """
     classed = members.withColumn("class", F.floor(F.log(F.col("grams").cast("double")) / F.lit(-math.log(threshold))).cast("int"))
-    sizes = classed.groupBy("cluster", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    enough = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("grams") / F.lit(BLOCK_GRAMS)))
+    sizes = classed.groupBy("cluster", "class").agg(enough.cast("int").alias("blocks"))
     upper = sizes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
     lower = sizes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
     table = sizes.join(upper, ["cluster", "class"], "left").join(lower, ["cluster", "class"], "left").na.fill(0, ["above", "below"])
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     reps = materialise(found.join(groups.select(F.col("node").alias("row_id"), "n"), "row_id").select(F.col("row_id").alias("node"), "n", "doc_id", "text_hash", "grams", "bands"), "representatives")
     keyed = reps.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
-    dealt = materialise(keyed.join(buckets, "key"), "buckets")
+    dealt = materialise(keyed_join(keyed, materialise(buckets, "bucket-sizes"), ["key"], "size").where("size is not null"), "buckets")
     members = F.sort_array(F.collect_list("node"))
     small = dealt.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(members.alias("m"))
     couple = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL_BUCKET), lambda y: F.struct(x.alias("a"), y.alias("b"))))
@@ -277,10 +278,13 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     label = components(edges)
     count = links.select(F.col("a").alias("node"), F.col("n_b").alias("c")).unionByName(links.select(F.col("b").alias("node"), F.col("n_a").alias("c"))).unionByName(blocks.where("kind = 0").select(F.col("x").alias("node"), F.col("y").alias("c")))
     links_of = count.groupBy("node").agg(F.sum("c").alias("others"))
-    table = groups.join(label, "node", "left").join(links_of, "node", "left").select("set_digest", F.coalesce("label", "node").alias("label"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    labelled = materialise(found.drop("bands").join(table, "set_digest", "left").withColumn("label", F.coalesce("label", "row_id")), "labelled")
-    best = labelled.groupBy("label").agg(F.min(id_out(F.col("doc_id"))).alias("class_id"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
-    return labelled.join(best, "label").select(
+    table = materialise(groups.join(label, "node", "left").join(links_of, "node", "left").select("set_digest", "n", F.coalesce("label", "node").alias("label"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "class-links")
+    narrow = found.drop("bands")
+    none = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("n", "label", "n_links")]
+    known = keyed_join(narrow.where("set_digest is not null"), table, ["set_digest"], "n").unionByName(narrow.where("set_digest is null").select("*", *none))
+    labelled = materialise(known.drop("n").withColumn("label", F.coalesce("label", "row_id")), "labelled")
+    best = labelled.groupBy("label").agg(F.min(id_out(F.col("doc_id"))).alias("class_id"), F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    return keyed_join(labelled, materialise(best, "best"), ["label"], "n").select(
         id_out(F.col("doc_id")).alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.col("grams").alias("n_grams"), "text_hash"
     )
 

@@ -216,3 +216,27 @@ def test_drop_lines(docs):
 
 def test_schema(docs):
     assert line_dedup.mark_lines(docs([])).columns == ["doc_id", "n_lines", "n_kept", "n_links", "dropped", "text_hash"]
+
+
+def test_recall_on_a_given_table(spark):
+    """Every link of a table with planted copies, found by comparing all documents that share an n-gram."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    sets = [grams(t) for _, t in rows]
+    at = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            at[g].append(i)
+    shared = defaultdict(int)
+    for owners in at.values():
+        for k, a in enumerate(owners):
+            for b in owners[:k]:
+                shared[a, b] += 1
+    links = defaultdict(int)
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+    assert sum(links.values()) > 100
+    got = {r["doc_id"]: r["n_links"] for r in near_dups.near_duplicates(table).collect()}
+    assert got == {i: links[k] for k, (i, _) in enumerate(rows)}
