@@ -70,6 +70,29 @@ class Assembler:
         return out
 
 
+    def vectors(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """row_id, the columns of ``keep``, and features (idx ascending, value) of every row of ``docs``.
+
+        Words are counted row by row: where ``docs`` is already dealt by row_id, nothing is shuffled.
+        """
+        v, m, _ = self.sizes
+        pair = lambda idx, value: F.struct(idx.cast("long").alias("idx"), value.cast("double").alias("value"))
+        none = F.array().cast("array<struct<idx:bigint,value:double>>")
+        words = tfidf(docs, self.vocabulary).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_words"))
+        time = F.filter(F.array(*[pair(F.lit(v + i), f) for i, f in enumerate(temporal_features(F.col("ts")))]), lambda x: x["value"] != 0)
+        own = docs.select("row_id", *keep, time.alias("_time"), category(F.col("materia")).alias("_materia"), category(F.col("tipo")).alias("_tipo"))
+        for name, encoder, base in (("_materia", self.materia, v + len(FEATURES)), ("_tipo", self.tipo, v + len(FEATURES) + m)):
+            known = encoder.select(F.col("value").alias(name), F.array(pair(F.col("idx") + base, F.lit(1.0))).alias(f"{name}_at"))
+            own = own.join(F.broadcast(known), name, "left")
+        joined = own.join(words, "row_id", "left")
+        return joined.select("row_id", *keep, F.concat(*[F.coalesce(c, none) for c in ("_words", "_time", "_materia_at", "_tipo_at")]).alias("features"))
+
+    def release(self) -> None:
+        """Give the cached tables back."""
+        for t in (self.vocabulary, self.materia, self.tipo):
+            t.unpersist()
+
+
 def to_sparse(features: DataFrame, row: str = "row_id") -> DataFrame:
     """row, features (idx ascending, value) as arrays of structs: at most one row's features per group."""
     return features.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("features"))

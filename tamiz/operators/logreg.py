@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Feature values that the one task of the exact trainer may hold, and up to which full-batch descent does not start a job per epoch.
+MOST_VALUES, FEW_VALUES = 64_000_000, 8_000_000
+
+
 @dataclass(frozen=True)
 class TrainConfig:
     epochs: int = 10
@@ -76,18 +80,41 @@ def gradient(frames: Iterator[pd.DataFrame], weights: np.ndarray, bias: float) -
     yield pd.DataFrame({"idx": at, "g": total[at]})
 
 
+def _all_epochs(pdf: pd.DataFrame, dimension: int, config: TrainConfig) -> pd.DataFrame:
+    """idx, weights, bias of full-batch descent over all rows at once."""
+    w, b = sgd(list(zip(pdf["idx"], pdf["value"], strict=True)), pdf["label"].to_numpy(np.float64), dimension, config)
+    seen = np.unique(np.concatenate([np.zeros(0, np.int64), *pdf["idx"]]).astype(np.int64))
+    return pd.DataFrame({"idx": [seen.tolist()], "weights": [w[seen].tolist()], "bias": [b]})
+
+
 def descend(rows: DataFrame, features: DataFrame, config: TrainConfig) -> Linear:
     """Full-batch gradient descent from zero: exact whenever the batch holds all rows.
 
-    Features are packed per row once and kept; an epoch is one pass without a shuffle of
-    rows: every partition sums its own gradient, and one value per feature reaches the
-    driver. Weights decay, the bias does not.
+    Features are packed per row once and kept. See ``descend_packed``.
+    """
+    return descend_packed(packed(rows, features), config)
+
+
+def descend_packed(rows: DataFrame, config: TrainConfig) -> Linear:
+    """Full-batch descent over ``rows`` (label, idx, value: arrays).
+
+    An epoch is one pass without a shuffle of rows: every partition sums its own gradient, and one value per feature
+    reaches the driver. Sets of at most ``FEW_VALUES`` feature values take all epochs in one task, with the same result. Weights decay, the bias does not. A batch of fewer rows than there are is refused:
+    ordered batches are what ``sgd_exact`` does.
     """
-    kept = packed(rows, features).persist()
-    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.max(F.array_max("idx")), F.lit(-1))).first()
+    kept = rows.persist()
+    n, size, held = kept.agg(F.count(F.lit(1)), F.coalesce(F.max(F.array_max("idx")), F.lit(-1)), F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()
     if not n:
+        kept.unpersist()
         return Linear({})
+    if 0 < config.batch < n:
+        kept.unpersist()
+        raise ValueError(f"a batch of {config.batch} rows is not the full batch of {n}: use the exact trainer, or a batch of all rows")
     config = config.normalised(n)
+    if held <= FEW_VALUES:
+        found = kept.groupBy().applyInPandas(lambda pdf: _all_epochs(pdf, size + 1, config), "idx array<long>, weights array<double>, bias double").first()
+        kept.unpersist()
+        return Linear(dict(zip(found["idx"], found["weights"], strict=True)), found["bias"])
     weights, bias, seen = np.zeros(size + 1), 0.0, set()
     for _ in range(config.epochs):
         step = partial(gradient, weights=weights, bias=bias)
@@ -106,12 +133,16 @@ def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimen
     """Mini-batches in the given order, never shuffled."""
     config = config.normalised(len(labels))
     w, b = np.zeros(dimension), 0.0
+    size = np.array([len(i) for i, _ in examples], np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    all_index = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in examples)]).astype(np.int64)
+    all_value = np.concatenate([np.zeros(0), *(v for _, v in examples)])
     for _ in range(config.epochs):
         for start in range(0, len(labels), config.batch):
-            part = examples[start : start + config.batch]
-            k = len(part)
-            index, value = np.concatenate([i for i, _ in part]), np.concatenate([v for _, v in part])
-            owner = np.repeat(np.arange(k), [len(i) for i, _ in part])
+            own = size[start : start + config.batch]
+            k = len(own)
+            part = slice(ends[start], ends[start + k])
+            index, value, owner = all_index[part], all_value[part], np.repeat(np.arange(k), own)
             z = np.bincount(owner, w[index] * value, k) + b
             p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
             error = p - labels[start : start + k]
@@ -120,19 +151,24 @@ def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimen
     return w, b
 
 
-def sgd_exact(sparse: DataFrame, dimension: int, config: TrainConfig) -> Linear:
-    """The exact order-dependent trainer for any batch size: one task holds the training set (rank, label, features).
+def sgd_exact(sparse: DataFrame, dimension: int, config: TrainConfig, most: int = MOST_VALUES) -> Linear:
+    """The exact order-dependent trainer for any batch size: one task holds the training set (rn, label, features).
 
-    Sequential by nature; for sets beyond one task's memory use ``library`` instead.
+    Sequential by nature, as each batch needs the weights of the one before. A set of more than ``most`` feature values is refused:
+    beyond that, use ``gd`` with a batch of all rows, or ``library``.
     """
+    held = sparse.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
+    if held > most:
+        raise ValueError(f"{held} feature values are more than the {most} that one task may hold: use gd with a batch of all rows, or library")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        examples = [(np.array([f["idx"] for f in fs], np.int64), np.array([f["value"] for f in fs], np.float64)) for fs in pdf["features"]]
+        examples = list(zip(pdf["idx"], pdf["value"], strict=True))
         w, b = sgd(examples, pdf["label"].to_numpy(np.float64), dimension, config)
         return pd.DataFrame({"weights": [w.tolist()], "bias": [b]})
 
-    found = sparse.select("rn", "label", "features").groupBy().applyInPandas(learn, "weights array<double>, bias double").first()
+    rows = sparse.select("rn", "label", F.col("features.idx").alias("idx"), F.col("features.value").alias("value"))
+    found = rows.groupBy().applyInPandas(learn, "weights array<double>, bias double").first()
     return Linear({i: w for i, w in enumerate(found["weights"]) if w}, found["bias"]) if found else Linear({})
 
 

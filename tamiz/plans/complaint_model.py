@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.text import tokens
 from tamiz.operators import logreg, metrics, ranking
-from tamiz.operators.features import Assembler, to_sparse
+from tamiz.operators.features import Assembler
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class RunConfig:
     ratio: float = 0.2
     seed: int = 42
     bigrams: bool = True
-    trainer: str = "gd"  # gd (full batch), exact (ordered mini-batches in one task) or library
+    trainer: str = "exact"  # exact (ordered mini-batches, one task of bounded size), gd (a batch of all rows) or library
     runs: int = 1
 
     def normalised(self) -> RunConfig:
@@ -51,12 +51,23 @@ class Run:
     scored: DataFrame
     method: str
     seconds: dict[str, float] = field(default_factory=dict)
+    rows: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back what the run cached; its scored rows are worked out anew after that."""
+        self.assembler.release()
+        if self.rows is not None:
+            self.rows.unpersist()
 
 
 def prepare(records: DataFrame, config: RunConfig) -> tuple[DataFrame, str]:
-    """Records (row_id, text, label, ts, materia, tipo) with tokens, rank and part."""
-    chosen, method = ranking.split_records(records, "ts", "row_id", config.ratio, config.seed)
-    return chosen.withColumn("tokens", tokens(F.col("text"), config.bigrams)).drop("text"), method
+    """Records (row_id, text, label, ts, materia, tipo; row_id unique) with tokens, rank and part, dealt by row_id.
+
+    Ranks are made from the narrow columns; texts move once, and what is worked out per row later finds them in place.
+    """
+    ranks, method = ranking.split_records(records.select("row_id", "ts"), "ts", "row_id", config.ratio, config.seed)
+    dealt = records.repartition("row_id").join(ranks.drop("ts"), "row_id")
+    return dealt.withColumn("tokens", tokens(F.col("text"), config.bigrams)).drop("text"), method
 
 
 def run_once(records: DataFrame, config: RunConfig | None = None) -> Run:
@@ -77,15 +88,15 @@ def run_once(records: DataFrame, config: RunConfig | None = None) -> Run:
     assembler = Assembler.fit(train, config.max_features, config.min_df)
     lap("vocabulary")
     if config.trainer == "gd":
-        model = logreg.descend(train, assembler.transform(train), config.training())
+        sparse = assembler.vectors(train, "label")
+        model = logreg.descend_packed(sparse.select("label", F.col("features.idx").alias("idx"), F.col("features.value").alias("value")), config.training())
     else:
-        sparse = to_sparse(assembler.transform(train))
-        sparse = train.select("row_id", "rn", "label").join(sparse, "row_id", "left").withColumn("features", F.coalesce("features", F.array().cast("array<struct<idx:bigint,value:double>>")))
         learn = logreg.sgd_exact if config.trainer == "exact" else logreg.library
-        model = learn(sparse, assembler.dimension, config.training())
+        model = learn(assembler.vectors(train, "rn", "label"), assembler.dimension, config.training())
     lap("training")
-    scored = logreg.predict(test.select("row_id", "label"), assembler.transform(test), model, config.threshold)
-    return Run(model, assembler, scored, method, seconds)
+    long = assembler.vectors(test).select("row_id", F.explode("features").alias("f")).select("row_id", "f.idx", "f.value")
+    scored = logreg.predict(test.select("row_id", "label"), long, model, config.threshold)
+    return Run(model, assembler, scored, method, seconds, rows)
 
 
 def evaluate(run: Run) -> DataFrame:
@@ -102,6 +113,7 @@ def compare(records: DataFrame, configs: dict[str, RunConfig]) -> list[dict]:
             run = run_once(records, config)
             result = evaluate(run).first().asDict()
             totals.append(sum(run.seconds.values()))
+            run.release()
         ordered = sorted(totals)
         kept = ordered[1:-1] if len(ordered) > 2 else ordered
         report.append({"config": name, "seconds": sum(kept) / len(kept), "split": run.method, **result})

@@ -10,7 +10,7 @@ from tamiz.operators import logreg, metrics, synth
 from tamiz.operators.features import tfidf
 from tamiz.operators.vocab import fit_vocabulary
 from tamiz.plans import complaint_model as M
-from tamiz.plans.text_queries import TOKENS_CTE
+from tamiz.plans.text_queries import TOKENS_CTE, category_sql
 from tamiz.sources.tables import table
 
 EPOCHS, RATE, DECAY = 3, 0.5, 0.001
@@ -24,16 +24,24 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _descended(spark: SparkSession, d: str, epochs: int) -> tuple[DataFrame, DataFrame, logreg.Linear]:
-    """All labelled documents, their TF-IDF features, and weights after ``epochs`` full-batch steps."""
-    rows = labelled(spark, d).withColumn("tokens", T.tokens(F.col("text"), True))
+    """All labelled documents, their TF-IDF features, and weights after ``epochs`` full-batch steps. Tokens are made once and kept."""
+    rows = labelled(spark, d).repartition("row_id").withColumn("tokens", T.tokens(F.col("text"), True)).select("row_id", "label", "tokens").cache()
     features = tfidf(rows, fit_vocabulary(rows))
-    n = rows.count()
-    return rows, features, logreg.descend(rows, features, logreg.TrainConfig(epochs, RATE, DECAY, n))
+    return rows, features, logreg.descend(rows, features, logreg.TrainConfig(epochs, RATE, DECAY, 0))
+
+
+def _settled(result: DataFrame, *kept: DataFrame) -> DataFrame:
+    """A result of a few rows, worked out before what it needs is given back."""
+    rows = result.collect()
+    for k in kept:
+        k.unpersist()
+    return result.sparkSession.createDataFrame(rows, result.schema)
 
 
 def _weights(spark: SparkSession, d: str, epochs: int) -> DataFrame:
     rows, _, model = _descended(spark, d, epochs)
     frame = model.frame(rows).where("idx >= 0")
+    rows.unpersist()
     return frame.union(spark.createDataFrame([(-1, model.bias)], "idx long, weight double")).select("idx", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
@@ -48,19 +56,30 @@ def gd_k_epochs(spark: SparkSession, d: str) -> DataFrame:
 def predict_evaluate(spark: SparkSession, d: str) -> DataFrame:
     rows, features, model = _descended(spark, d, EPOCHS)
     scored = logreg.predict(rows.select("row_id", "label"), features, model, 0.15)
-    return metrics.confusion(scored, F.col("label"), F.col("prediction"))
+    return _settled(metrics.confusion(scored, F.col("label"), F.col("prediction")), rows)
+
+
+def _evaluated(spark: SparkSession, d: str, config: M.RunConfig) -> DataFrame:
+    run = M.run_once(labelled(spark, d), config)
+    result = _settled(M.evaluate(run))
+    run.release()
+    return result
 
 
 def sgd_exact_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(batch=64, rate=0.5, threshold=0.3, trainer="exact")))
+    return _evaluated(spark, d, M.RunConfig(batch=64, rate=0.5, threshold=0.3))
 
 
 def mllib_metrics(spark: SparkSession, d: str) -> DataFrame:
     return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(trainer="library")))
 
 
+#: Epochs and threshold of the whole run over a batch of all rows.
+RUN_EPOCHS, RUN_THRESHOLD, ALL_ROWS = 10, 0.2, 1 << 62
+
+
 def train_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    return M.evaluate(M.run_once(labelled(spark, d), M.RunConfig(rate=0.5, threshold=0.2)))
+    return _evaluated(spark, d, M.RunConfig(epochs=RUN_EPOCHS, rate=RATE, decay=DECAY, threshold=RUN_THRESHOLD, trainer="gd", batch=ALL_ROWS))
 
 
 ANCHOR, SEED = "2026-01-01", 42
@@ -93,11 +112,11 @@ _FEATURES = f"""WITH {TOKENS_CTE}, rows AS (SELECT doc_id, 1 - quality AS label,
     w0 AS (SELECT DISTINCT idx, CAST(0 AS DOUBLE) AS weight FROM x), b0 AS (SELECT CAST(0 AS DOUBLE) AS bias)"""
 
 
-def _step_sql(k: int) -> str:
-    """One epoch: errors, then weights and bias."""
-    score = f"""z{k} AS (SELECT doc_id, label, coalesce(sum(value * weight), 0) + any_value(bias) AS z FROM rows LEFT JOIN x USING (doc_id) LEFT JOIN w{k - 1} USING (idx), b{k - 1} GROUP BY doc_id, label),
+def _step_sql(k: int, x: str = "x") -> str:
+    """One epoch over the features ``x``: errors, then weights and bias."""
+    score = f"""z{k} AS (SELECT doc_id, label, coalesce(sum(value * weight), 0) + any_value(bias) AS z FROM rows LEFT JOIN {x} USING (doc_id) LEFT JOIN w{k - 1} USING (idx), b{k - 1} GROUP BY doc_id, label),
     e{k} AS MATERIALIZED (SELECT doc_id, 1 / (1 + exp(-z)) - label AS error FROM z{k})"""
-    weights = f"w{k} AS MATERIALIZED (SELECT idx, any_value(weight) - {RATE} * (sum(error * value) / any_value(n) + {DECAY} * any_value(weight)) AS weight FROM x JOIN e{k} USING (doc_id) JOIN w{k - 1} USING (idx), size GROUP BY idx)"
+    weights = f"w{k} AS MATERIALIZED (SELECT idx, any_value(weight) - {RATE} * (sum(error * value) / any_value(n) + {DECAY} * any_value(weight)) AS weight FROM {x} JOIN e{k} USING (doc_id) JOIN w{k - 1} USING (idx), size GROUP BY idx)"
     return f", {score}, {weights}, b{k} AS MATERIALIZED (SELECT any_value(bias) - {RATE} * sum(error) / any_value(n) AS bias FROM e{k}, b{k - 1}, size)"
 
 
@@ -149,9 +168,36 @@ _SYNTH = f"""WITH o AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders)
     SELECT n, entity, matter, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, text, CAST(strikes > 0 AS BIGINT) AS spam, array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL), ';') AS tags,
         round({_draw_sql("score")} / {float(synth.RESOLUTION)} * 0.3 + CASE WHEN strikes > 0 THEN 0.7 ELSE 0 END, 6) AS score FROM s{synth.MOST_ANOMALIES} WHERE trim(text) <> '' AND trim(entity) <> ''"""
 
-_GUESS = f"""{_FEATURES}{"".join(_step_sql(k + 1) for k in range(EPOCHS))}, s AS (SELECT label, 1 / (1 + exp(-(coalesce(sum(value * weight), 0) + any_value(bias)))) >= 0.15 AS guess FROM rows LEFT JOIN x USING (doc_id) LEFT JOIN w{EPOCHS} USING (idx), b{EPOCHS} GROUP BY doc_id, label),
-    c AS (SELECT count(*) FILTER (WHERE label = 1 AND guess) AS tp, count(*) FILTER (WHERE label = 0 AND NOT guess) AS tn, count(*) FILTER (WHERE label = 0 AND guess) AS fp, count(*) FILTER (WHERE label = 1 AND NOT guess) AS fn FROM s),
+_CONFUSION = """c AS (SELECT count(*) FILTER (WHERE label = 1 AND guess) AS tp, count(*) FILTER (WHERE label = 0 AND NOT guess) AS tn, count(*) FILTER (WHERE label = 0 AND guess) AS fp, count(*) FILTER (WHERE label = 1 AND NOT guess) AS fn FROM s),
     r AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS q FROM c)
     SELECT tp, tn, fp, fn, round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0), 0), 6) AS accuracy, round(p, 6) AS precision, round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1, tp + fp AS alerts FROM r"""
+_GUESS = f"""{_FEATURES}{"".join(_step_sql(k + 1) for k in range(EPOCHS))}, s AS (SELECT label, 1 / (1 + exp(-(coalesce(sum(value * weight), 0) + any_value(bias)))) >= 0.15 AS guess FROM rows LEFT JOIN x USING (doc_id) LEFT JOIN w{EPOCHS} USING (idx), b{EPOCHS} GROUP BY doc_id, label),
+    {_CONFUSION}"""
+
+# The whole run: split by time (or by hash, where a time is missing), features fitted on the train part, all epochs, metrics of the test part.
+_TIMES = "hour(ts) / 23.0, dayofweek(ts) / 6.0, month(ts) / 12.0, CASE WHEN dayofweek(ts) IN (0, 6) THEN 1.0 ELSE 0.0 END, CASE WHEN dayofweek(ts) NOT IN (0, 6) AND hour(ts) >= 8 AND hour(ts) < 18 THEN 1.0 ELSE 0.0 END, CASE WHEN hour(ts) < 5 OR hour(ts) >= 22 THEN 1.0 ELSE 0.0 END, " + ", ".join(
+    f"{f}(6.283185307179586 * {x})" for x in ("hour(ts) / 24.0", "dayofweek(ts) / 7.0") for f in ("sin", "cos")
+)
+
+
+def _levels_sql(name: str) -> str:
+    return f"{name}_levels AS (SELECT value FROM (SELECT {name} AS value, row_number() OVER (ORDER BY count(*) DESC, {name}) AS k FROM train WHERE {name} <> '' GROUP BY {name}) WHERE k <= 100)"
+
+
+_RUN = f"""WITH {TOKENS_CTE},
+    labelled AS (SELECT doc_id, t, 1 - quality AS label, e.ts, {category_sql("source")} AS materia, {category_sql("lang")} AS tipo FROM toks JOIN labels USING (doc_id) LEFT JOIN events e ON e.event_id = doc_id),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FILTER (WHERE ts IS NULL) FROM labelled) = 0 THEN epoch_us(ts) ELSE CAST('0x' || substr(md5('42|' || doc_id), 1, 13) AS BIGINT) END, doc_id) AS rn, count(*) OVER () AS total FROM labelled),
+    parts AS (SELECT *, rn <= total - least(greatest(CAST(floor(total * 0.2 + 0.5) AS BIGINT), 1), total - 1) AS learns FROM ordered), train AS (SELECT * FROM parts WHERE learns), size AS (SELECT count(*) AS n FROM train),
+    freq AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM train) GROUP BY token HAVING count(*) >= 2),
+    vocabulary AS (SELECT token, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT row_number() OVER (ORDER BY df DESC, token) AS k, token, df FROM freq), size WHERE k <= 5000),
+    {_levels_sql("materia")}, {_levels_sql("tipo")},
+    x AS MATERIALIZED (SELECT doc_id, learns, 'w ' || token AS idx, count(*) / CAST(k AS DOUBLE) * idf AS value FROM (SELECT doc_id, learns, len(t) AS k, unnest(t) AS token FROM parts) JOIN vocabulary USING (token) GROUP BY doc_id, learns, token, k, idf
+        UNION ALL SELECT doc_id, learns, 't ' || i, v FROM (SELECT doc_id, learns, unnest(range(10)) AS i, CAST(unnest([{_TIMES}]) AS DOUBLE) AS v FROM parts WHERE ts IS NOT NULL) WHERE v <> 0
+        UNION ALL SELECT doc_id, learns, 'm ' || materia, 1.0 FROM parts JOIN materia_levels ON value = materia UNION ALL SELECT doc_id, learns, 'k ' || tipo, 1.0 FROM parts JOIN tipo_levels ON value = tipo),
+    rows AS (SELECT doc_id, label FROM train), w0 AS (SELECT DISTINCT idx, CAST(0 AS DOUBLE) AS weight FROM x WHERE learns), b0 AS (SELECT CAST(0 AS DOUBLE) AS bias)"""
+
+_EVALUATED = f"""{_RUN}{"".join(_step_sql(k + 1, "(SELECT * FROM x WHERE learns)") for k in range(RUN_EPOCHS))},
+    s AS (SELECT label, 1 / (1 + exp(-(coalesce(sum(value * weight), 0) + any_value(bias)))) >= {RUN_THRESHOLD} AS guess FROM parts LEFT JOIN x USING (doc_id) LEFT JOIN w{RUN_EPOCHS} USING (idx), b{RUN_EPOCHS} WHERE NOT parts.learns GROUP BY doc_id, label),
+    {_CONFUSION}"""
 
-ORACLE_SQL = {"gd_one_step": _weights_sql(1), "gd_k_epochs": _weights_sql(EPOCHS), "predict_evaluate": _GUESS, "synth_complaints": _SYNTH}
+ORACLE_SQL = {"gd_one_step": _weights_sql(1), "gd_k_epochs": _weights_sql(EPOCHS), "predict_evaluate": _GUESS, "train_evaluate": _EVALUATED, "synth_complaints": _SYNTH}

@@ -156,3 +156,37 @@ def test_reports(tmp_path):
     assert files.write_json({"a": 1}, str(tmp_path / "d/r.json")) == '{\n  "a": 1\n}'
     assert files.write_summary([{"run": 1, "s": 2}], str(tmp_path / "d/r.json")).read_text() == "run=1, s=2\n"
     assert files.route("Resueltos 2017.xlsx") == "resueltos" and files.route("x.xlsx") == "presentados"
+
+
+def test_batches_are_honoured_or_refused(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.random((10, 3)), rng.integers(0, 2, 10)
+    rows = spark.createDataFrame([(i, int(y[i])) for i in range(10)], "row_id long, label int")
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(10) for j in range(3)], "row_id long, idx long, value double")
+    with pytest.raises(ValueError, match="full batch"):
+        logreg.descend(rows, long, logreg.TrainConfig(2, 0.5, 0.01, 4))
+    whole = logreg.descend(rows, long, logreg.TrainConfig(4, 0.5, 0.01, 0))
+    monkeypatch.setattr(logreg, "FEW_VALUES", 0)  # a job per epoch
+    assert logreg.descend(rows, long, logreg.TrainConfig(4, 0.5, 0.01, 0)).weights == pytest.approx(whole.weights)
+    sparse = spark.createDataFrame([(i + 1, int(y[i]), [(j, float(x[i, j])) for j in range(3)]) for i in range(10)], "rn long, label int, features array<struct<idx:bigint,value:double>>").repartition(3)
+    config = logreg.TrainConfig(4, 0.5, 0.01, 4)
+    w, b = np.zeros(3), 0.0
+    for _ in range(4):
+        for part in (slice(0, 4), slice(4, 8), slice(8, 10)):
+            error = 1 / (1 + np.exp(-(x[part] @ w + b))) - y[part]
+            w, b = w - 0.5 * (error @ x[part] / len(error) + 0.01 * w), b - 0.5 * error.mean()
+    model = logreg.sgd_exact(sparse, 3, config)
+    assert [model.weights[j] for j in range(3)] == pytest.approx(w.tolist()) and model.bias == pytest.approx(b)
+    with pytest.raises(ValueError, match="one task"):
+        logreg.sgd_exact(sparse, 3, config, most=29)
+
+
+def test_vectors_equal_the_long_features(spark):
+    from tamiz.operators.features import Assembler
+
+    rows = spark.createDataFrame([(1, ["a", "b", "a"], "2026-01-03 23:00:00", "M", "k"), (2, ["b"], None, "n", None), (3, [], "2026-01-05 10:00:00", "", "k")], "row_id long, tokens array<string>, ts string, materia string, tipo string")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    made = Assembler.fit(rows, 10, 1)
+    long = sorted(tuple(r) for r in made.transform(rows).collect())
+    got = [(r["row_id"], f["idx"], f["value"]) for r in made.vectors(rows).collect() for f in r["features"]]
+    assert sorted(got) == long and all([f["idx"] for f in r["features"]] == sorted(f["idx"] for f in r["features"]) for r in made.vectors(rows).collect())
