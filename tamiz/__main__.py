@@ -1,12 +1,24 @@
-"""Train and evaluate from the command line: ``python -m tamiz INPUT.csv --mode compare --workers 1,2,4``."""
+"""The command line.
+
+``python -m tamiz INPUT.csv --mode compare --workers 1,2,4`` trains and evaluates; a command as the first word does one of the other steps:
+
+``merge PRESENTED RESOLVED OUT`` (folders of yearly sheets), ``clean IN OUT``, ``synthesise IN OUT``,
+``inspect IN...`` (schema, five rows, nulls), ``monitor OUT.json -- COMMAND`` (what a command uses).
+"""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
+from datetime import date
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tamiz import monitor
+from tamiz.operators import clean, merge, synth
 from tamiz.plans import complaint_model as M
 from tamiz.sources import files
 
@@ -39,7 +51,107 @@ def run_with(path: str, workers: int, config: M.RunConfig) -> dict:
         spark.stop()
 
 
+def session(workers: str = "*") -> SparkSession:
+    """The session that is there (as under spark-submit), else a local one."""
+    return SparkSession.getActiveSession() or SparkSession.builder.master(f"local[{workers}]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def sheets(folder: str) -> list[str]:
+    """The CSV and Parquet sheets of a folder, in order of their names."""
+    return sorted(str(p) for p in Path(folder).iterdir() if p.suffix in (".csv", ".parquet"))
+
+
+def read(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else files.read_csv(spark, path, multiline=multiline)
+
+
+def merge_sheets(args: argparse.Namespace) -> int:
+    """Merge yearly sheets and tell how records were matched."""
+    spark = session()
+    presented, resolved = (files.yearly_sheets(spark, sheets(folder), names) for folder, names in ((args.presented, merge.PRESENTED_NAMES), (args.resolved, merge.RESOLVED_NAMES)))
+    files.write_csv(merge.merged_table(presented, resolved), args.out)
+    by = {r["RES_MATCH_SOURCE"]: r["count"] for r in read(spark, args.out).groupBy("RES_MATCH_SOURCE").count().collect()}
+    print(files.write_json({"rows": sum(by.values()), "matched_by_number": by.get("nro", 0), "matched_by_origin": by.get("origen", 0), "unmatched": by.get("none", 0)}))
+    return 0
+
+
+def clean_records(args: argparse.Namespace) -> int:
+    """Clean merged records and print the report; rows whose field count does not fit the header are left out and counted."""
+    spark = session()
+    if args.input.rstrip("/").endswith(".parquet"):
+        good, malformed = read(spark, args.input), 0
+    else:
+        good, bad = files.read_strict(spark, args.input, files.read_csv(spark, args.input, multiline=not args.single_lines).columns, not args.single_lines)
+        malformed = bad.count()
+    files.write_csv(clean.clean_frame(good), args.out)
+    print(files.write_json({**clean.clean_report(good).first().asDict(), "malformed": malformed}, args.report))
+    return 0
+
+
+def synthesise(args: argparse.Namespace) -> int:
+    """Draw labelled synthetic complaints from clean records."""
+    spark = session()
+    records = files.file_index(read(spark, args.input, not args.single_lines).na.fill(""), "position")
+    if records.isEmpty():
+        raise ValueError("the dataset is empty")
+    files.write_csv(synth.synthetic_rows(records, args.rows, args.anchor or date.today().isoformat(), args.seed), args.out)
+    if args.reduced:
+        files.write_csv(files.reduce_synthetic(read(spark, args.out)), args.reduced)
+    by = {r["ES_SPAM"]: r["count"] for r in read(spark, args.out).groupBy("ES_SPAM").count().collect()}
+    print(files.write_json({"rows": sum(by.values()), "spam": by.get("1", 0)}))
+    return 0
+
+
+def inspect(args: argparse.Namespace) -> int:
+    """Schema, five rows drawn by a seed, and missing values of data sets."""
+    spark = session()
+    for path in args.input:
+        rows = read(spark, path)
+        rows.printSchema()
+        rows.orderBy(F.rand(args.seed)).limit(5).show(truncate=60)
+        merge.null_profile(rows).show(len(rows.columns), truncate=False)
+    return 0
+
+
+def watch(args: argparse.Namespace) -> int:
+    """What a command uses, as JSON."""
+    print(files.write_json(monitor.monitored([x for x in args.command if x != "--"]), args.out))
+    return 0
+
+
+def steps() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="tamiz")
+    sub = parser.add_subparsers(required=True)
+
+    def step(name: str, run: Callable[[argparse.Namespace], int], *places: str) -> argparse.ArgumentParser:
+        made = sub.add_parser(name, help=run.__doc__)
+        made.set_defaults(run=run)
+        for p in places:
+            made.add_argument(p)
+        return made
+
+    step("merge", merge_sheets, "presented", "resolved", "out")
+    for made in (step("clean", clean_records, "input", "out"), step("synthesise", synthesise, "input", "out")):
+        made.add_argument("--single-lines", action="store_true", help="no quoted line breaks: large files are split")
+        made.add_argument("--report")
+    made.add_argument("--rows", type=int, default=1_000_000)
+    made.add_argument("--seed", type=int, default=42)
+    made.add_argument("--anchor", help="day (yyyy-mm-dd) that undated complaints precede; today by default")
+    made.add_argument("--reduced", help="where to write the rows without bookkeeping columns as well")
+    made = step("inspect", inspect)
+    made.add_argument("input", nargs="+")
+    made.add_argument("--seed", type=int, default=42)
+    step("monitor", watch, "out").add_argument("command", nargs=argparse.REMAINDER)
+    return parser
+
+
+STEPS = ("merge", "clean", "synthesise", "inspect", "monitor")
+
+
 def main(argv: list[str]) -> int:
+    if argv and argv[0] in STEPS:
+        args = steps().parse_args(argv)
+        return args.run(args)
     parser = argparse.ArgumentParser(prog="tamiz")
     parser.add_argument("input")
     parser.add_argument("--mode", default="compare", type=mode_name)

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised headers of the yearly sheets and the names they get.
@@ -31,7 +31,6 @@ RESOLVED_NAMES = {
     "NRO_DE_RESOLUCION": "NRO_RESOLUCION",
     "FORMA_DE_CONCLUSION": "FORMA_CONCLUSION",
 }
-FILLED = ("TIPO_EXPEDIENTE", "FECHA_PRESENTACION", "DENUNCIADOS", "MATERIA", "FECHA_RESOLUCION", "NRO_RESOLUCION", "FORMA_CONCLUSION", "año", "EXPEDIENTE_ORIGEN")
 
 
 def header(name: str) -> str:
@@ -69,8 +68,9 @@ def left_join_suffixed(left: DataFrame, right: DataFrame, key: str, suffixes: tu
 
 def keep_last(df: DataFrame, key: str, order: Column, tie: Column) -> DataFrame:
     """One row per ``key``: the last by ``order`` (null counts as last), then by ``tie``."""
-    last = Window.partitionBy(key).orderBy(order.desc_nulls_first(), tie.desc())
-    return df.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    last = F.max_by(row, F.struct(order.isNull().alias("none"), order.alias("order"), tie.alias("tie")))  # partial sums: no task gathers a key's rows
+    return df.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
 
 
 def two_step_match(presented: DataFrame, resolved: DataFrame, tie: str, legacy: bool = False) -> DataFrame:
@@ -94,6 +94,21 @@ def two_step_match(presented: DataFrame, resolved: DataFrame, tie: str, legacy:
     return joined.withColumn("RES_MATCH_SOURCE", source).withColumns(filled).drop("_m1", "_m2", *[f"{c}_res2" for c in values])
 
 
+def merged_table(presented: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The merged records as they are staged: columns of both sides end in ``_pres`` and ``_res``, the others keep their names.
+
+    Resolutions of one origin and year are ordered as they come.
+    """
+    number, origin = "NRO_EXPEDIENTE", "EXPEDIENTE_ORIGEN"
+    both = (set(presented.columns) & set(resolved.columns)) - {number}
+    right = resolved.withColumns({"_pos": F.monotonically_increasing_id(), "_origin": F.col(origin)})
+    found = two_step_match(presented, right, "_pos")
+    left = [F.col(f"`{c}`").alias(c + "_pres" if c in both else c) for c in presented.columns]
+    values = [F.col(f"`{c}_res`").alias(c + "_res" if c in both else c) for c in resolved.columns if c not in (number, origin)]
+    own = F.when(F.col("RES_MATCH_SOURCE") == "nro", F.col("_origin_res")).alias(f"{origin}_res")
+    return found.select(*left, own, *values, "RES_MATCH_SOURCE")
+
+
 def coverage(merged: DataFrame, year: str) -> DataFrame:
     """Per year: records, resolved ones and their percentage."""
     matched = F.count_if(F.col("RES_MATCH_SOURCE") != "none")

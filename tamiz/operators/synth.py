@@ -98,7 +98,7 @@ def base_complaints(source: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def synthesise(source: DataFrame, count: int, anchor: str, seed: int = 42, anomalies: dict[str, Anomaly] | None = None) -> DataFrame:
-    """n, entity, matter, ts, text, spam, tags, score of valid synthetic complaints.
+    """n, entity, matter, ts, text, spam, tags, score of valid synthetic complaints; and ``original``, where the source has it.
 
     Days that do not parse become days up to a year before ``anchor``. Text is made before
     anomalies rewrite the entity. Rows without a text or an entity in the end are left out.
@@ -125,12 +125,29 @@ def synthesise(source: DataFrame, count: int, anchor: str, seed: int = 42, anoma
     spam = (F.col("strikes") > 0).cast("int")
     share = draw("score", seed) / float(RESOLUTION) * 0.3
     valid = (F.trim("text") != "") & (F.trim(F.coalesce("entity", F.lit(""))) != "")
-    return df.where(valid).select("n", "entity", "matter", "ts", "text", spam.alias("spam"), F.array_compact(F.array(*drawn)).alias("tags"), (F.when(F.col("strikes") > 0, 0.7 + share).otherwise(share)).alias("score"))
+    return df.where(valid).select("n", "entity", "matter", "ts", "text", spam.alias("spam"), F.array_compact(F.array(*drawn)).alias("tags"), (F.when(F.col("strikes") > 0, 0.7 + share).otherwise(share)).alias("score"), *(["original"] if "original" in source.columns else []))
+
+
+def _new_columns() -> list[Column]:
+    """What the generator adds to a row: seconds, 0 or 1, tags joined by semicolons, two decimals."""
+    return [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP"), F.col("text").alias("DETALLE_QUEJA"), F.col("spam").cast("string").alias("ES_SPAM"), F.array_join("tags", ";").alias("SPAM_TAGS"), F.format_string("%.2f", "score").alias("SPAM_SCORE")]
 
 
 def export_columns(complaints: DataFrame) -> DataFrame:
-    """As written to CSV: seconds, 0 or 1, tags joined by semicolons, two decimals."""
-    return complaints.select(
-        F.col("entity").alias("DENUNCIADOS_pres"), F.col("matter").alias("MATERIA_pres"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP"), F.col("text").alias("DETALLE_QUEJA"), F.col("spam").cast("string").alias("ES_SPAM"), F.array_join("tags", ";").alias("SPAM_TAGS"), F.format_string("%.2f", "score").alias("SPAM_SCORE")
-    )
+    """The entity, the matter and the new columns, as written to CSV."""
+    return complaints.select(F.col("entity").alias(ENTITY), F.col("matter").alias(MATTER), *_new_columns())
+
+
+ENTITY, MATTER, DAY = "DENUNCIADOS_pres", "MATERIA_pres", "FECHA_PRESENTACION_pres"
 
+
+def synthetic_rows(records: DataFrame, count: int, anchor: str, seed: int = 42) -> DataFrame:
+    """Whole rows as they are written: the original columns in bytewise order, the entity as anomalies left it, then the five new columns.
+
+    ``records`` (clean records of any columns, with ``position`` from 0) are drawn with replacement. A column that they lack counts as empty.
+    """
+    columns = sorted(c for c in records.columns if c != "position")
+    text = lambda c: F.col(f"`{c}`").cast("string") if c in columns else F.lit("")
+    source = records.select("position", text(ENTITY).alias("entity"), text(MATTER).alias("matter"), text(DAY).alias("day"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("original"))
+    own = [F.col("entity").alias(c) if c == ENTITY else F.col("original").getField(c).alias(c) for c in columns]
+    return synthesise(source, count, anchor, seed).select(*own, *_new_columns())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from tamiz.functions.text import cell
 from tamiz.functions.timefeat import stamp_or_day
 from tamiz.operators.merge import rename, union_by_name
 
+# The columns of a clean file.
 CLEAN_COLUMNS = (
     "NRO_EXPEDIENTE", "EXPEDIENTE_ORIGEN_pres", "TIPO_EXPEDIENTE_pres", "FECHA_PRESENTACION_pres", "DENUNCIADOS_pres", "DOC_DENUNCIADO", "MATERIA_pres", "año_pres",
     "FECHA_RESOLUCION", "NRO_RESOLUCION", "FORMA_CONCLUSION", "año_res", "RES_MATCH_SOURCE",
@@ -46,16 +48,53 @@ def yearly_sheets(spark: SparkSession, paths: list[str], names: dict[str, str])
     return union_by_name(frames)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file with a header, all text; quotes may hold line breaks; ragged rows are filled or cut."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
+def _reader(spark: SparkSession, multiline: bool) -> DataFrameReader:
+    return spark.read.option("multiLine", multiline).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE")
 
 
-def read_strict(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """A CSV file with a header, all text; ragged rows are filled or cut. Header names are trimmed; of equal ones the last column counts.
+
+    Quotes may hold line breaks; ``multiline=False``, for files without such, lets Spark split large files among tasks.
+    """
+    if schema is not None:
+        return _reader(spark, multiline).option("header", True).schema(schema).csv(path)
+    first = _reader(spark, multiline).option("header", False).option("inferSchema", False).csv(path).first()
+    names = [(c or "").strip().removeprefix("\ufeff") for c in first or ()]
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    places = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    last = {name: i for i, name in enumerate(names)}
+    return _reader(spark, multiline).option("header", True).option("enforceSchema", True).schema(places).csv(path).select(*[F.col(f"_c{i}").alias(name) for name, i in last.items()])
+
+
+def _has_metadata(df: DataFrame) -> bool:
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.file_block_start").columns)
+    except AnalysisException:
+        return False
+
+
+def file_index(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the place of a row from 0 without gaps, in the order of files that ``df`` reads (with nothing but projections and filters between), else in partition order.
+
+    Rows are numbered within their split, and splits are shifted by the counts of those before; only these counts are put in order.
+    """
+    if _has_metadata(df):
+        split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    else:
+        split = [F.lit("").alias("_file"), F.shiftright(F.monotonically_increasing_id(), 33).alias("_start")]
+    numbered = df.select("*", *split, F.monotonically_increasing_id().alias("_id"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counts = numbered.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return numbered.join(F.broadcast(shift), ["_file", "_start"]).withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_file", "_start", "_id", "_first", "_before")
+
+
+def read_strict(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str], multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows whose field count fits the header, and the raw text of the others; the parsed rows are persisted for both."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path).persist()
+    rows = _reader(spark, multiline).schema(schema).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path).persist()
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
@@ -74,14 +113,14 @@ def complaint_records(df: DataFrame, limit: int | None = None) -> DataFrame:
     """row_id, text, label, ts, materia, tipo of a complaint table.
 
     Text and flag are required columns; time, matter and kind fall back by name. A flag that is no
-    label raises when read. ``limit`` takes the first rows in file order, for trials.
+    label raises when read. row_id counts the rows in file order, from 0 without gaps; ``limit`` takes the first, for trials.
     """
     for c in ("DETALLE_QUEJA", "ES_SPAM"):
         if c not in df.columns:
             raise ValueError(f"missing column {c}")
-    own = df.withColumn("row_id", F.monotonically_increasing_id())
+    own = file_index(df, "row_id")
     if limit:
-        own = own.orderBy("row_id").limit(limit)
+        own = own.where(F.col("row_id") < limit)
     stamp = stamp_or_day(first_present(df, ["TIMESTAMP"]), first_present(df, ["FECHA_PRESENTACION_pres", "FECHA_PRESENTACION"]), first_present(df, ["HORA_PRESENTACION"]))
     rows = own.select("row_id", cell(F.col("DETALLE_QUEJA")).alias("text"), label(F.col("ES_SPAM")).alias("label"), stamp.alias("ts"), first_present(df, ["MATERIA", "MATERIA_pres"]).alias("materia"), first_present(df, ["TIPO_EXPEDIENTE", "TIPO_EXPEDIENTE_pres"]).alias("tipo"))
     return rows
