@@ -71,9 +71,12 @@ class WordIds:
         return found
 
     def chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if low.isalpha() and (low.isascii() or max(chunk) < SIMPLE_BELOW):
+            return self.part(low)  # one run of letters is one part
         if not chunk.isascii() and max(chunk) >= SIMPLE_BELOW or "|" in chunk and any(x in chunk for x in self.special):
             return self.whole(chunk)
-        return b"".join(map(self.part, PARTS.findall(chunk.lower())))
+        return b"".join(map(self.part, PARTS.findall(low)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. U+001C to U+001F split Python strings but not the tokenizer's."""
