@@ -2,13 +2,14 @@
 
 ``python -m tamiz INPUT.csv --mode compare --workers 1,2,4`` trains and evaluates; a command as the first word does one of the other steps:
 
-``merge PRESENTED RESOLVED OUT`` (folders of yearly sheets), ``clean IN OUT``, ``synthesise IN OUT``,
+``ingest SOURCE TARGET`` (sorts downloaded sheets), ``merge PRESENTED RESOLVED OUT`` (folders of yearly sheets), ``clean IN OUT``, ``synthesise IN OUT``,
 ``inspect IN...`` (schema, five rows, nulls), ``monitor OUT.json -- COMMAND`` (what a command uses).
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Callable
 from datetime import date
@@ -41,6 +42,19 @@ def worker_counts(value: str) -> list[int]:
     return counts
 
 
+def clamp_workers(workers: int, rows: int) -> int:
+    """As many workers as asked for, all cores if none are, and no more than rows; 1 for no rows."""
+    if rows <= 0:
+        return 1
+    return min(workers if workers > 0 else os.cpu_count() or 1, rows)
+
+
+def chunk_ranges(rows: int, workers: int) -> list[tuple[int, int]]:
+    """Start and end of the stretches of rows that workers take: equal ones, the last may be shorter. Spark deals partitions itself; reports use this."""
+    size = -(-rows // clamp_workers(workers, rows)) if rows > 0 else 1
+    return [(start, min(start + size, rows)) for start in range(0, max(rows, 0), size)]
+
+
 def run_with(path: str, workers: int, config: M.RunConfig) -> dict:
     """One configuration in a session of its own width."""
     spark = SparkSession.builder.master(f"local[{workers}]").config("spark.sql.shuffle.partitions", str(max(4, workers))).config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -57,14 +71,20 @@ def session(workers: str = "*") -> SparkSession:
 
 
 def sheets(folder: str) -> list[str]:
-    """The CSV and Parquet sheets of a folder, in order of their names."""
-    return sorted(str(p) for p in Path(folder).iterdir() if p.suffix in (".csv", ".parquet"))
+    """The sheets of a folder, in order of their names."""
+    return sorted(str(p) for p in Path(folder).iterdir() if p.suffix in (".csv", ".parquet", ".xlsx"))
 
 
 def read(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else files.read_csv(spark, path, multiline=multiline)
 
 
+def ingest(args: argparse.Namespace) -> int:
+    """Sort downloaded sheets into the folders that ``merge`` reads."""
+    print(files.write_json(files.ingest(args.source, args.target)))
+    return 0
+
+
 def merge_sheets(args: argparse.Namespace) -> int:
     """Merge yearly sheets and tell how records were matched."""
     spark = session()
@@ -130,6 +150,7 @@ def steps() -> argparse.ArgumentParser:
             made.add_argument(p)
         return made
 
+    step("ingest", ingest, "source", "target")
     step("merge", merge_sheets, "presented", "resolved", "out")
     for made in (step("clean", clean_records, "input", "out"), step("synthesise", synthesise, "input", "out")):
         made.add_argument("--single-lines", action="store_true", help="no quoted line breaks: large files are split")
@@ -145,7 +166,7 @@ def steps() -> argparse.ArgumentParser:
     return parser
 
 
-STEPS = ("merge", "clean", "synthesise", "inspect", "monitor")
+STEPS = ("ingest", "merge", "clean", "synthesise", "inspect", "monitor")
 
 
 def main(argv: list[str]) -> int:

@@ -9,6 +9,7 @@ from tamiz.functions import cleaning as C
 from tamiz.functions import timefeat
 from tamiz.functions.text import cell
 from tamiz.operators import clean, merge, metrics, ranking, rules
+from tamiz.sources import files
 from tamiz.sources.tables import table
 
 SPACE_SQL = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
@@ -228,10 +229,33 @@ def clean_report(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_report(_merged(spark, d))
 
 
+# Headers of the yearly sheets in several spellings, beside the names of the given tables.
+HEADERS = ("INGRESO EN SALA", "Nro. Expediente Origen", "DENUNCIADO(S)", "  Denunciados ", "TIPO Y NÚMERO DE DOCUMENTO DENUNCIADO(S)", "MATERIA / SPC", "F. RESOLUCIÓN", "Forma de Conclusión", "año", "--", "")
+
+
+def header_names(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised headers and the names that the two maps give them."""
+    rows = [(raw, merge.header(raw), merge.PRESENTED_NAMES.get(merge.header(raw)), merge.RESOLVED_NAMES.get(merge.header(raw))) for raw in HEADERS]
+    return spark.createDataFrame(rows, "raw string, header string, presented string, resolved string")
+
+
+def complaint_loader(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as a complaint file would be loaded: flags in words, the day and the clock in two columns, names that fall back."""
+    docs, labels, events = (table(spark, d, t) for t in ("documents", "labels", "events"))
+    rows = docs.join(labels, "doc_id").join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
+    stamp = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("")
+    raw = rows.select(
+        F.concat(F.lit(" "), "text").alias("DETALLE_QUEJA"), F.when(F.col("quality") == 0, "Sí").otherwise("false").alias("ES_SPAM"), stamp.alias("TIMESTAMP"), F.date_format("ts", "dd/MM/yyyy").alias("FECHA_PRESENTACION"),
+        F.date_format("ts", "HH:mm").alias("HORA_PRESENTACION"), F.col("doc_id").cast("string").alias("MATERIA_pres"), F.col("lang").alias("TIPO_EXPEDIENTE_pres"), F.lit("unused").alias("año_pres"),
+    )
+    made = files.complaint_records(raw)
+    return made.select("materia", "tipo", "label", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.length("text").cast("long").alias("characters"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        temporal_features, parse_timestamp, parse_clock, temporal_split, hashed_split, label_parse, left_join_suffix, two_step_match, two_step_match_legacy, coverage_by_year, dedup_keep_last, union_by_name, clean_entity, clean_dates,
+        header_names, complaint_loader, temporal_features, parse_timestamp, parse_clock, temporal_split, hashed_split, label_parse, left_join_suffix, two_step_match, two_step_match_legacy, coverage_by_year, dedup_keep_last, union_by_name, clean_entity, clean_dates,
         clean_years, clean_conclusion, extract_doc_number, validate_rows, confusion_metrics, trimmed_mean, stage_means, best_config, unmatched_rows, null_profile, rule_duplicates, rule_night, rule_entity, rule_alerts, entity_frequency, clean_records, clean_report,
     )
 }
@@ -270,7 +294,18 @@ _STAGE_SQL = f"SELECT l_linenumber AS workers, round(avg(l_quantity), 6) AS tota
 _GHOST_SQL = "g AS (SELECT event_id, ts, CASE WHEN user_id % 5 = 0 THEN 'EMPRESA_FANTASMA_' ELSE 'E_' END || user_id AS entity, event_type || '|' || CAST(round(value, 0) AS BIGINT) AS text FROM events)"
 _RULES_SQL = f"""{_GHOST_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY text) >= 50 AS dup, hour(ts) BETWEEN 0 AND 4 AS night, count(*) OVER (PARTITION BY entity) >= 3 AND contains(entity, 'EMPRESA_FANTASMA_') AS ghost FROM g)"""
 
+
+
+def _names_sql(names: dict[str, str]) -> str:
+    return f"CASE header {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())} END"
+
+
 ORACLE_SQL = {
+    "header_names": f"""WITH h AS (SELECT raw, trim(regexp_replace(upper(strip_accents(raw)), '[^A-Z0-9]+', '_', 'g'), '_') AS header FROM (SELECT unnest([{", ".join(f"'{x}'" for x in HEADERS)}]) AS raw))
+        SELECT raw, header, {_names_sql(merge.PRESENTED_NAMES)} AS presented, {_names_sql(merge.RESOLVED_NAMES)} AS resolved FROM h""",
+    "complaint_loader": f"""SELECT CAST(d.doc_id AS VARCHAR) AS materia, {trim_sql("lang")} AS tipo, CAST(1 - quality AS INTEGER) AS label,
+        strftime(CASE WHEN d.doc_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END, '%Y-%m-%d %H:%M:%S') AS stamp, length({trim_sql("' ' || text")}) AS characters
+        FROM documents d JOIN labels USING (doc_id) LEFT JOIN events e ON e.event_id = d.doc_id""",
     "temporal_features": f"""SELECT event_id, round({_HOUR} / 23.0, 6) AS hour, round({_WEEK} / 6.0, 6) AS weekday, round(month(ts) / 12.0, 6) AS month, CASE WHEN {_WEEK} IN (0, 6) THEN 1e0 ELSE 0e0 END AS weekend,
         CASE WHEN {_WEEK} NOT IN (0, 6) AND {_HOUR} >= 8 AND {_HOUR} < 18 THEN 1e0 ELSE 0e0 END AS business, CASE WHEN {_HOUR} < 5 OR {_HOUR} >= 22 THEN 1e0 ELSE 0e0 END AS night,
         round(sin({TURN}{_HOUR} / 24.0), 6) + 0.0 AS hour_sin, round(cos({TURN}{_HOUR} / 24.0), 6) + 0.0 AS hour_cos, round(sin({TURN}{_WEEK} / 7.0), 6) + 0.0 AS weekday_sin, round(cos({TURN}{_WEEK} / 7.0), 6) + 0.0 AS weekday_cos FROM events""",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
+import shutil
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -33,8 +35,36 @@ def route(name: str) -> str:
     return "resueltos" if "Resueltos" in name else "presentados"
 
 
+def ingest(source: str, target: str) -> dict[str, list[str]]:
+    """Copy the sheets of a downloaded folder into ``resueltos`` and ``presentados`` under ``target``, by their names; other files stay behind."""
+    taken: dict[str, list[str]] = {"resueltos": [], "presentados": []}
+    for path in sorted(Path(source).rglob("*")):
+        if path.is_file() and ("Resueltos" in path.name or "Presentados" in path.name):
+            folder = Path(target) / route(path.name)
+            folder.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(path, folder / path.name)
+            taken[route(path.name)].append(path.name)
+    return taken
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """One sheet, all text: Parquet, CSV, or Excel where pandas finds a reader for it (an optional library; sheets are small)."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    if path.endswith((".xlsx", ".xls")):
+        import pandas as pd
+
+        try:
+            held = pd.read_excel(path, dtype=str)
+        except ImportError as e:
+            raise ImportError(f"reading {path} needs an Excel reader such as openpyxl; or export it as CSV") from e
+        schema = T.StructType([T.StructField(str(c), T.StringType()) for c in held.columns])
+        return spark.createDataFrame(held.astype(object).where(held.notna(), None).values.tolist(), schema)
+    return read_csv(spark, path)
+
+
 def yearly_sheets(spark: SparkSession, paths: list[str], names: dict[str, str]) -> DataFrame:
-    """Yearly sheets (CSV or Parquet) under one set of names, with ``año`` from the file name.
+    """Yearly sheets (see ``read_sheet``) under one set of names, with ``año`` from the file name.
 
     Every file is renamed on its own before the union, as headers differ by year.
     No paths are an error.
@@ -43,8 +73,7 @@ def yearly_sheets(spark: SparkSession, paths: list[str], names: dict[str, str])
         raise ValueError("no sheets to read")
     frames = []
     for path in paths:
-        raw = spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
-        frames.append(rename(raw, names).withColumn("año", year_of(F.lit(path.rstrip("/").rpartition("/")[2]))))
+        frames.append(rename(read_sheet(spark, path), names).withColumn("año", year_of(F.lit(path.rstrip("/").rpartition("/")[2]))))
     return union_by_name(frames)
 
 
@@ -69,10 +98,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def _has_metadata(df: DataFrame) -> bool:
+    """Whether rows still know their file; a frame that does not is no error worth a log entry."""
+    log = logging.getLogger("DataFrameQueryContextLogger")
+    before, log.disabled = log.disabled, True
     try:
         return bool(df.select("_metadata.file_path", "_metadata.file_block_start").columns)
     except AnalysisException:
         return False
+    finally:
+        log.disabled = before
 
 
 def file_index(df: DataFrame, name: str) -> DataFrame:

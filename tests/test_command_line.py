@@ -74,3 +74,20 @@ def test_header_and_row_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert [r["n"] for r in rows] == list(range(4047)) and [r["v"] for r in rows] == sorted(r["v"] for r in rows)
     assert [r["n"] for r in files.file_index(spark.range(10).repartition(3), "n").orderBy("n").collect()] == list(range(10))
+
+
+def test_ingest_and_sheets(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for name in ("Expedientes Resueltos 2017.csv", "Presentados 2018.csv", "notes.txt", "Presentados y Resueltos 2019.csv"):
+        (tmp_path / "in" / name).write_text("MATERIA\nm\n")
+    assert cli.main(["ingest", str(tmp_path / "in"), str(tmp_path / "raw")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"resueltos": ["Expedientes Resueltos 2017.csv", "Presentados y Resueltos 2019.csv"], "presentados": ["Presentados 2018.csv"]}
+    assert len(cli.sheets(str(tmp_path / "raw/resueltos"))) == 2
+    (tmp_path / "x.xlsx").write_bytes(b"")
+    with pytest.raises((ImportError, ValueError, OSError)):
+        files.read_sheet(spark, str(tmp_path / "x.xlsx"))
+
+
+def test_chunks():
+    assert cli.chunk_ranges(10, 4) == [(0, 3), (3, 6), (6, 9), (9, 10)] and cli.chunk_ranges(2, 9) == [(0, 1), (1, 2)] and cli.chunk_ranges(0, 3) == []
+    assert (cli.clamp_workers(0, 1), cli.clamp_workers(5, 0), cli.clamp_workers(5, 3)) == (1, 1, 3)

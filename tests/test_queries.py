@@ -24,7 +24,7 @@ def test_names():
     assert set(registry.QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["text_normalize", "vocabulary_idf", "category_encoder", "temporal_features", "parse_timestamp", "two_step_match", "clean_entity", "clean_records", "clean_report", "rule_alerts", "gd_one_step", "train_evaluate", "unmatched_rows", "coverage_by_year"])
+@pytest.mark.parametrize("name", ["text_normalize", "vocabulary_idf", "category_encoder", "temporal_features", "parse_timestamp", "two_step_match", "clean_entity", "clean_records", "clean_report", "rule_alerts", "gd_one_step", "train_evaluate", "unmatched_rows", "coverage_by_year", "assembled_features", "synthetic_export", "header_names", "complaint_loader"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:
