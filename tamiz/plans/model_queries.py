@@ -116,7 +116,7 @@ def assembled_features(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.cache()
     made = Assembler.fit(rows.where("part = 'train'"), config.max_features, config.min_df)
     pairs = made.vectors(rows, "part").select("row_id", "part", F.posexplode("features").alias("place", "f"))
-    return pairs.select("row_id", "part", F.col("place").cast("long").alias("place"), "f.idx", F.round("f.value", 6).alias("value"))
+    return pairs.select("row_id", "part", F.col("place").cast("long").alias("place"), "f.idx", (F.round("f.value", 6) + 0.0).alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (assembled_features, synthetic_export, gd_one_step, gd_k_epochs, predict_evaluate, sgd_exact_metrics, mllib_metrics, train_evaluate, synth_complaints)}
@@ -224,7 +224,7 @@ _ASSEMBLED = f"""{_RUN}, sizes AS (SELECT (SELECT count(*) FROM vocabulary) AS v
     numbers AS (SELECT 'w ' || token AS idx, row_number() OVER (ORDER BY df DESC, token) - 1 AS k FROM vocabulary
         UNION ALL SELECT 't ' || i, v + i FROM (SELECT unnest(range(10)) AS i, v FROM sizes)
         UNION ALL SELECT 'm ' || value, v + 10 + level - 1 FROM materia_levels, sizes UNION ALL SELECT 'k ' || value, v + 10 + m + level - 1 FROM tipo_levels, sizes)
-    SELECT doc_id AS row_id, CASE WHEN learns THEN 'train' ELSE 'test' END AS part, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, CAST(k AS BIGINT) AS idx, round(value, 6) AS value FROM x JOIN numbers USING (idx)"""
+    SELECT doc_id AS row_id, CASE WHEN learns THEN 'train' ELSE 'test' END AS part, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, CAST(k AS BIGINT) AS idx, round(value, 6) + 0.0 AS value FROM x JOIN numbers USING (idx)"""
 
 _EVALUATED = f"""{_RUN}{"".join(_step_sql(k + 1, "(SELECT * FROM x WHERE learns)") for k in range(RUN_EPOCHS))},
     s AS (SELECT label, 1 / (1 + exp(-(coalesce(sum(value * weight), 0) + any_value(bias)))) >= {RUN_THRESHOLD} AS guess FROM parts LEFT JOIN x USING (doc_id) LEFT JOIN w{RUN_EPOCHS} USING (idx), b{RUN_EPOCHS} WHERE NOT parts.learns GROUP BY doc_id, label),
