@@ -22,7 +22,7 @@ EDITS = 2
 #: Shorter lines (in characters) are only matched exactly: their segments are so short that a probe could leave the line.
 SHORTEST = (EDITS + 1) ** 2
 #: Lines of a meeting that one task compares; crowded meetings are cut into blocks of this size.
-BLOCK = 128
+BLOCK = 512
 #: Room in a tag for twice the segments; generated ids of up to 2^24 partitions still fit.
 TAGS = 64
 _WORD = (1 << 64) - 1
