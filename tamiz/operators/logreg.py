@@ -1,4 +1,4 @@
-"""Logistic regression: full-batch descent as joins, exact mini-batches in one task, and the library's."""
+"""Logistic regression: full-batch descent as joins, exact mini-batches block by block, and the library's."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tamiz.operators.ranking import global_rank
 
-#: Feature values that the one task of the exact trainer may hold, and up to which full-batch descent does not start a job per epoch.
-MOST_VALUES, FEW_VALUES = 64_000_000, 8_000_000
+#: Feature values of a block of the exact trainer, units whose feature values it counts, and feature values up to which full-batch descent does not start a job per epoch.
+BLOCK_VALUES, MOST_UNITS, FEW_VALUES = 4_000_000, 4096, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -129,47 +130,128 @@ def descend_packed(rows: DataFrame, config: TrainConfig) -> Linear:
     return Linear({i: float(weights[i]) for i in sorted(seen) if i <= size}, float(bias))
 
 
+def slopes(labels: np.ndarray, size: np.ndarray, index: np.ndarray, value: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Summed gradient and summed error of rows with ``size`` feature values each."""
+    k = len(labels)
+    owner = np.repeat(np.arange(k), size)
+    z = np.bincount(owner, w[index] * value, k) + b
+    p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+    error = p - labels
+    return np.bincount(index, error[owner] * value, len(w)), error.sum()
+
+
+def one_epoch(labels: np.ndarray, size: np.ndarray, index: np.ndarray, value: np.ndarray, w: np.ndarray, b: float, config: TrainConfig) -> tuple[np.ndarray, float]:
+    """Weights and bias after one pass over the rows, batch by batch."""
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    for start in range(0, len(labels), config.batch):
+        own = size[start : start + config.batch]
+        k = len(own)
+        part = slice(ends[start], ends[start + k])
+        g, e = slopes(labels[start : start + k], own, index[part], value[part], w, b)
+        w = w - config.rate * (g / k + config.decay * w)
+        b -= config.rate * e / k
+    return w, b
+
+
 def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension: int, config: TrainConfig) -> tuple[np.ndarray, float]:
     """Mini-batches in the given order, never shuffled."""
     config = config.normalised(len(labels))
     w, b = np.zeros(dimension), 0.0
     size = np.array([len(i) for i, _ in examples], np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
     all_index = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in examples)]).astype(np.int64)
     all_value = np.concatenate([np.zeros(0), *(v for _, v in examples)])
     for _ in range(config.epochs):
-        for start in range(0, len(labels), config.batch):
-            own = size[start : start + config.batch]
-            k = len(own)
-            part = slice(ends[start], ends[start + k])
-            index, value, owner = all_index[part], all_value[part], np.repeat(np.arange(k), own)
-            z = np.bincount(owner, w[index] * value, k) + b
-            p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
-            error = p - labels[start : start + k]
-            w = w - config.rate * (np.bincount(index, error[owner] * value, dimension) / k + config.decay * w)
-            b -= config.rate * error.sum() / k
+        w, b = one_epoch(labels, size, all_index, all_value, w, b, config)
     return w, b
 
 
-def sgd_exact(sparse: DataFrame, dimension: int, config: TrainConfig, most: int = MOST_VALUES) -> Linear:
-    """The exact order-dependent trainer for any batch size: one task holds the training set (rn, label, features).
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order as a few values: block, at (position of the first row), and label, size, idx and value as bytes."""
+    for pdf in frames:
+        for block, own in pdf.groupby("block"):
+            index, value = np.concatenate(own["idx"].tolist()).astype(np.int32), np.concatenate(own["value"].tolist()).astype(np.float64)
+            size = own["idx"].map(len).to_numpy(np.int32)
+            yield pd.DataFrame({"block": [block], "at": [own["at"].iloc[0]], "label": [own["label"].to_numpy(np.float64).tobytes()], "size": [size.tobytes()], "idx": [index.tobytes()], "value": [value.tobytes()]})
 
-    Sequential by nature, as each batch needs the weights of the one before. A set of more than ``most`` feature values is refused:
-    beyond that, use ``gd`` with a batch of all rows, or ``library``.
-    """
-    held = sparse.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
-    if held > most:
-        raise ValueError(f"{held} feature values are more than the {most} that one task may hold: use gd with a batch of all rows, or library")
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        examples = list(zip(pdf["idx"], pdf["value"], strict=True))
-        w, b = sgd(examples, pdf["label"].to_numpy(np.float64), dimension, config)
-        return pd.DataFrame({"weights": [w.tolist()], "bias": [b]})
+def _opened(rows: Iterator[Row], block: int) -> tuple[np.ndarray, ...]:
+    """label, size, idx, value of a block's rows in order."""
+    own = sorted((r for r in rows if r["block"] == block), key=lambda r: r["at"])
+    kinds = {"label": np.float64, "size": np.int32, "idx": np.int32, "value": np.float64}
+    return tuple(np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in own)]) for name, kind in kinds.items())
+
+
+def _learnt(rows: Iterator[Row], block: int, weights: np.ndarray, bias: float, config: TrainConfig) -> Iterator[tuple[np.ndarray, float]]:
+    """Weights and bias after a block's batches."""
+    labels, size, index, value = _opened(rows, block)
+    yield one_epoch(labels, size, index, value, weights, bias, config)
+
 
-    rows = sparse.select("rn", "label", F.col("features.idx").alias("idx"), F.col("features.value").alias("value"))
-    found = rows.groupBy().applyInPandas(learn, "weights array<double>, bias double").first()
-    return Linear({i: w for i, w in enumerate(found["weights"]) if w}, found["bias"]) if found else Linear({})
+def _sums(rows: Iterator[Row], blocks: list[int], weights: np.ndarray, bias: float) -> Iterator[tuple[np.ndarray, float]]:
+    """Summed gradient and error of the rows of ``blocks`` in a partition."""
+    held = list(rows)
+    for block in blocks:
+        labels, size, index, value = _opened(held, block)
+        yield slopes(labels, size, index, value, weights, bias)
+
+
+def _blocks(kept: DataFrame, n: int, held: int, batch: int, most: int) -> list[int]:
+    """Positions at which blocks of about ``most`` feature values begin. A batch is cut only if it is larger than a block, and then no block has rows of two.
+
+    Feature values are counted by units of neighbouring rows, at most ``MOST_UNITS`` and those that a large batch is cut into.
+    """
+    cuts = -(-8 * held * batch // (n * most)) if held * batch > n * most else 1
+    group = batch * (1 if cuts > 1 else -(-n // (batch * MOST_UNITS)))
+    unit = -(-group // cuts)
+    place = F.col("at")
+    counts = kept.groupBy(F.floor(place / group).alias("g"), F.floor(place % group / unit).alias("u")).agg(F.sum("held")).collect()
+    starts, full = [], 0
+    for g, u, size in sorted(tuple(r) for r in counts):
+        if not starts or full + size > most or cuts > 1 and not u:
+            starts, full = [*starts, g * group + u * unit], 0
+        full += size
+    return starts
+
+
+def sgd_exact(sparse: DataFrame, dimension: int, config: TrainConfig, most: int | None = None) -> Linear:
+    """The exact order-dependent trainer for any batch size, over a training set (rn, label, features) of any size.
+
+    Rows are dealt by order into blocks of whole batches and about ``BLOCK_VALUES`` feature values, packed and kept. Sequential by nature, as each batch needs
+    the weights of the one before: an epoch is a task for each block in turn, which gets the weights that the last one left. A batch larger than a
+    block is several blocks, whose tasks sum its gradient side by side. A caller may name a number of feature values, ``most``, beyond which the set is refused.
+    """
+    rows = sparse.select("rn", "label", F.col("features.idx").cast("array<int>").alias("idx"), F.col("features.value").alias("value"), F.size("features").alias("held")).persist()
+    n, first, last, held = rows.agg(F.count(F.lit(1)), F.min("rn"), F.max("rn"), F.coalesce(F.sum("held"), F.lit(0))).first()
+    if not n or most is not None and held > most:
+        rows.unpersist()
+        if not n:
+            return Linear({})
+        raise ValueError(f"{held} feature values are more than the {most} that one task may hold: use gd with a batch of all rows, or library")
+    config = config.normalised(n)
+    placed = rows if last - first + 1 == n else global_rank(rows.withColumnRenamed("rn", "_rn"), "_rn", "_rn")
+    placed = placed.withColumn("at", F.col("rn") - (first if placed is rows else 1))
+    starts = _blocks(placed, n, held, config.batch, BLOCK_VALUES)
+    block = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("at"))) - 1
+    dealt = placed.select(block.alias("block"), "at", "label", "idx", "value").repartitionById(len(starts), "block").sortWithinPartitions("at")
+    kept = dealt.mapInPandas(_pack, "block int, at long, label binary, size binary, idx binary, value binary").persist()
+    home = {r["block"]: r["p"] for r in kept.select("block", F.spark_partition_id().alias("p")).distinct().collect()}
+    rows.unpersist()
+    run, packs = sparse.sparkSession.sparkContext.runJob, kept.rdd
+    batches: dict[int, list[int]] = {}
+    for k, s in enumerate(starts):
+        batches.setdefault(s // config.batch, []).append(k)
+    weights, bias = np.zeros(dimension), 0.0
+    for _ in range(config.epochs):
+        for b, own in batches.items():
+            if len(own) == 1:
+                ((weights, bias),) = run(packs, partial(_learnt, block=own[0], weights=weights, bias=bias, config=config), [home[own[0]]])
+            else:
+                k = min(config.batch, n - b * config.batch)
+                sums = run(packs, partial(_sums, blocks=own, weights=weights, bias=bias), sorted({home[i] for i in own}))
+                weights = weights - config.rate * (sum(g for g, _ in sums) / k + config.decay * weights)
+                bias -= config.rate * sum(e for _, e in sums) / k
+    kept.unpersist()
+    return Linear({i: float(w) for i, w in enumerate(weights) if w}, float(bias))
 
 
 def vectors(sparse: DataFrame, dimension: int) -> DataFrame:

@@ -27,7 +27,7 @@ class RunConfig:
     ratio: float = 0.2
     seed: int = 42
     bigrams: bool = True
-    trainer: str = "exact"  # exact (ordered mini-batches, one task of bounded size), gd (a batch of all rows) or library
+    trainer: str = "exact"  # exact (ordered mini-batches, blocks in turn), gd (a batch of all rows) or library
     runs: int = 1
 
     def normalised(self) -> RunConfig:
