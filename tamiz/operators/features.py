@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +15,39 @@ from tamiz.functions.text import category
 from tamiz.functions.timefeat import FEATURES, temporal_features
 from tamiz.operators.vocab import fit_category, fit_vocabulary
 
+#: Rows of repeated ids whose counts one task adds up.
+MERGED_ROWS = 4096
+
+
+def known_counts(vocabulary: DataFrame) -> Callable[[Column], Column]:
+    """Of arrays of tokens: idx (ascending), idf, and count ``c`` of those that the vocabulary knows. Missing arrays have none."""
+    known = sorted(vocabulary.select("idx", "token", "idf").collect())
+    idx, idf, words = np.array([r["idx"] for r in known], np.int64), np.array([r["idf"] for r in known], np.float64), pa.array([r["token"] for r in known], pa.string())
+
+    @F.arrow_udf("array<struct<idx:bigint,idf:double,c:bigint>>")
+    def counted(arrays: pa.Array) -> pa.Array:
+        at = pc.fill_null(pc.index_in(flat := arrays.flatten(), value_set=words.cast(flat.type), skip_nulls=True), -1).to_numpy()
+        owner = pc.list_parent_indices(arrays).to_numpy()
+        found, c = np.unique(owner[at >= 0] * max(1, len(words)) + at[at >= 0], return_counts=True)
+        place, owner = found % max(1, len(words)), found // max(1, len(words))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(arrays)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(idx[place]), pa.array(idf[place]), pa.array(c.astype(np.int64))], ["idx", "idf", "c"]))
+
+    return counted
+
 
 def tfidf(docs: DataFrame, vocabulary: DataFrame, row: str = "row_id", tokens: str = "tokens") -> DataFrame:
     """row, idx, value: count over all of the row's tokens (known or not) times idf; no norm.
 
-    The vocabulary has at most ``max_features`` rows and is broadcast.
+    The vocabulary has at most ``max_features`` rows and goes to all tasks. Tokens are counted within each row's array, an Arrow batch of rows at a time, whatever
+    a task's share of the table. Only where values of ``row`` repeat (looked up first), the counts of rows of equal ``row`` and length are added up, in tasks of about ``MERGED_ROWS`` rows.
     """
-    each = docs.select(row, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
-    known = each.join(F.broadcast(vocabulary.select("token", "idx", "idf")), "token")
-    counts = known.groupBy(row, "idx", "n", "idf").agg(F.count(F.lit(1)).alias("c"))
+    each = docs.select(row, F.size(tokens).alias("n"), F.explode(known_counts(vocabulary)(F.col(tokens))).alias("t"))
+    counts = each.select(row, "t.idx", "n", "t.idf", "t.c")
+    n, most = docs.groupBy(row).agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k"), F.max("k")).first()
+    if (most or 0) > 1:
+        keys = (row, "idx", "n", "idf")
+        counts = counts.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // MERGED_ROWS)), *keys).groupBy(*keys).agg(F.sum("c").alias("c"))
     return counts.select(row, "idx", (F.col("c") / F.col("n") * F.col("idf")).alias("value"))
 
 

@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FEATURES, MIN_DF, MAX_LEVELS = 5000, 2, 100
 
+#: Bytes of tokens that are counted at once, and tokens (of all, before any are counted) for each task that adds counts up.
+COMBINE_BYTES, TASK_TOKENS = 64 << 20, 4_000_000
 
-def document_frequency(docs: DataFrame, tokens: str = "tokens", min_df: int = MIN_DF) -> DataFrame:
-    """token, df of tokens in ``min_df`` documents at least (below 1 counts as 1)."""
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, c: counts of tokens, given out whenever ``COMBINE_BYTES`` of tokens have come in."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch.column(0))
+            size += batch.nbytes
+        if held and (batch is None or size >= COMBINE_BYTES):
+            counts = pc.value_counts(pa.chunked_array(held))
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["token", "c"])
+            held, size = [], 0
+
+
+def _document_frequency(docs: DataFrame, tokens: str, min_df: int, held: int) -> DataFrame:
+    """``held``: the number of all tokens, for the number of tasks that add up."""
     each = docs.select(F.explode(F.array_distinct(tokens)).alias("token")).where("token <> ''")
-    return each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= max(1, min_df))
+    dealt = each.mapInArrow(_combined, "token string, c long").repartition(max(1, -(-held // TASK_TOKENS)), "token")
+    return dealt.groupBy("token").agg(F.sum("c").alias("df")).where(F.col("df") >= max(1, min_df))
+
+
+def _totals(docs: DataFrame, tokens: str) -> tuple[int, int]:
+    """Documents and tokens."""
+    return tuple(docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first())
+
+
+def document_frequency(docs: DataFrame, tokens: str = "tokens", min_df: int = MIN_DF) -> DataFrame:
+    """token, df of tokens in ``min_df`` documents at least (below 1 counts as 1).
+
+    Distinct tokens may grow with the table, so no task holds all of those it reads: partial counts are made of ``COMBINE_BYTES`` of tokens at a time, and
+    added up in tasks of about ``TASK_TOKENS`` tokens each.
+    """
+    return _document_frequency(docs, tokens, min_df, _totals(docs, tokens)[1])
 
 
 def idf(df: Column, n: int) -> Column:
@@ -25,8 +61,8 @@ def _first(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def fit_vocabulary(docs: DataFrame, tokens: str = "tokens", max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
     """idx, token, df, idf of the most frequent tokens, ties by token. All documents count, empty ones too."""
-    n = docs.count()
-    top = _first(document_frequency(docs, tokens, min_df), [F.desc("df"), F.asc("token")], max_features if max_features > 0 else MAX_FEATURES)
+    n, held = _totals(docs, tokens)
+    top = _first(_document_frequency(docs, tokens, min_df, held), [F.desc("df"), F.asc("token")], max_features if max_features > 0 else MAX_FEATURES)
     return top.select("idx", "token", "df", idf(F.col("df"), n).alias("idf"))
 
 
