@@ -15,8 +15,8 @@ from tamiz.functions.text import category
 from tamiz.functions.timefeat import FEATURES, temporal_features
 from tamiz.operators.vocab import fit_category, fit_vocabulary
 
-#: Rows of repeated ids whose counts one task adds up.
-MERGED_ROWS = 4096
+#: Rows whose tokens are counted at once, and rows of repeated ids whose counts one task adds up.
+COUNTED_ROWS, MERGED_ROWS = 512, 4096
 
 
 def known_counts(vocabulary: DataFrame) -> Callable[[Column], Column]:
@@ -24,8 +24,7 @@ def known_counts(vocabulary: DataFrame) -> Callable[[Column], Column]:
     known = sorted(vocabulary.select("idx", "token", "idf").collect())
     idx, idf, words = np.array([r["idx"] for r in known], np.int64), np.array([r["idf"] for r in known], np.float64), pa.array([r["token"] for r in known], pa.string())
 
-    @F.arrow_udf("array<struct<idx:bigint,idf:double,c:bigint>>")
-    def counted(arrays: pa.Array) -> pa.Array:
+    def part(arrays: pa.Array) -> pa.Array:
         at = pc.fill_null(pc.index_in(flat := arrays.flatten(), value_set=words.cast(flat.type), skip_nulls=True), -1).to_numpy()
         owner = pc.list_parent_indices(arrays).to_numpy()
         found, c = np.unique(owner[at >= 0] * max(1, len(words)) + at[at >= 0], return_counts=True)
@@ -33,6 +32,10 @@ def known_counts(vocabulary: DataFrame) -> Callable[[Column], Column]:
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(arrays)))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(idx[place]), pa.array(idf[place]), pa.array(c.astype(np.int64))], ["idx", "idf", "c"]))
 
+    @F.arrow_udf("array<struct<idx:bigint,idf:double,c:bigint>>")
+    def counted(arrays: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(arrays.slice(i, COUNTED_ROWS)) for i in range(0, max(1, len(arrays)), COUNTED_ROWS)])
+
     return counted
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tamiz.operators.ranking import global_rank
 
-#: Feature values of a block of the exact trainer, units whose feature values it counts, and feature values up to which full-batch descent does not start a job per epoch.
-BLOCK_VALUES, MOST_UNITS, FEW_VALUES = 4_000_000, 4096, 8_000_000
+#: Feature values of a block of the exact trainer, rows that are packed together, units whose feature values it counts, and feature values up to which full-batch descent does not start a job per epoch.
+BLOCK_VALUES, PACK_ROWS, MOST_UNITS, FEW_VALUES = 2_000_000, 1024, 4096, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimen
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order as a few values: block, at (position of the first row), and label, size, idx and value as bytes."""
-    for pdf in frames:
+    for pdf in (pdf[i : i + PACK_ROWS] for pdf in frames for i in range(0, len(pdf), PACK_ROWS)):
         for block, own in pdf.groupby("block"):
             index, value = np.concatenate(own["idx"].tolist()).astype(np.int32), np.concatenate(own["value"].tolist()).astype(np.float64)
             size = own["idx"].map(len).to_numpy(np.int32)

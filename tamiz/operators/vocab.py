@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MAX_FEATURES, MIN_DF, MAX_LEVELS = 5000, 2, 100
 
 #: Bytes of tokens that are counted at once, and tokens (of all, before any are counted) for each task that adds counts up.
-COMBINE_BYTES, TASK_TOKENS = 64 << 20, 4_000_000
+COMBINE_BYTES, TASK_TOKENS = 16 << 20, 4_000_000
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

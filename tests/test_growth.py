@@ -40,6 +40,8 @@ def test_counts_within_a_row(spark):
     twice = rows.union(spark.createDataFrame([(1, ["a", "a", "b", "b"]), (1, ["a"]), (None, ["b"]), (None, ["b"])], shape))
     assert key(features.tfidf(twice.where("row_id = 1"), words)) == [(1, 0, 0.75), (1, 0, 1.0), (1, 1, 2.0)]
     assert [r["value"] for r in features.tfidf(twice, words).where("row_id IS NULL").collect()] == [4.0]
+    many = spark.range(3000).repartition(1).selectExpr("id AS row_id", "array_repeat(IF(id % 2 = 0, 'a', 'z'), 1 + CAST(id % 3 AS INT)) AS tokens")
+    assert key(features.tfidf(many, words)) == [(i, 0, 1.0) for i in range(0, 3000, 2)]
     assert features.tfidf(rows.limit(0), words).count() == 0 and features.tfidf(rows, words.limit(0)).count() == 0
 
 
